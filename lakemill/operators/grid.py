@@ -37,8 +37,8 @@ def regular_grid(readings: DataFrame, value: str = "temperature", period: int =
     """
     half = (reach + 0.5) * period
     x = usable(readings).where(is_number(value)).select("sensor", "event_time", F.col(value).cast("double").alias("y"))
-    x = x.withColumn("p", F.floor(F.col("event_time") / period)).repartition("sensor", "p")
-    once = x.groupBy("sensor", "p", "event_time").agg(F.avg("y").alias("y"))
+    x = x.withColumn("p", F.floor(F.col("event_time") / period))
+    once = x.repartition("sensor", "p").groupBy("sensor", "p", "event_time").agg(F.avg("y").alias("y"))
     e = (F.col("event_time") - F.col("p") * period - period / 2) / half
     sums = [F.sum(F.pow(e, F.lit(float(k)))).alias(f"m{k}") if k else F.count(F.lit(1)).cast("double").alias("m0") for k in range(5)]
     sums += [F.sum(F.col("y") * F.pow(e, F.lit(float(k)))).alias(f"y{k}") for k in range(4)]
@@ -55,7 +55,7 @@ def regular_grid(readings: DataFrame, value: str = "temperature", period: int =
         (q[0] - q[2]).alias("t0"), (q[1] - q[3]).alias("t1"), F.lit(0).alias("grid"),
     )
 
-    ends = index.groupBy("sensor").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    ends = x.groupBy("sensor").agg(F.min("p").alias("a"), F.max("p").alias("b"))
     blocks = ends.select("sensor", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("k")).repartition("sensor", "k")
     grid = blocks.select("sensor", F.explode(F.sequence(F.greatest("a", F.col("k") * block), F.least("b", F.col("k") * block + block - 1))).alias("p"))
     zeros = [F.lit(0.0).alias(c) for c in ("own", "near", "s0", "s1", "s2", "ww", "t0", "t1")]
