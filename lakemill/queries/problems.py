@@ -9,6 +9,7 @@ from lakemill.operators import drift, grid, incremental, late, smallfiles, spike
 from lakemill.operators.listing import data_files
 from lakemill.queries.registry import Registry
 from lakemill.session import cut, shared_path, table
+from lakemill.streaming.late import LateEvents
 
 R = Registry()
 
@@ -83,6 +84,21 @@ def p2_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _advance(spark, sf).upserts.select("process_name", "prefix", "window_start", "n_files", "bytes")
 
 
+WINDOWS_SQL = R.sql["p2_windows"]
+
+
+@R.add(sql=WINDOWS_SQL)
+def p2_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows after the history came as four batches in order of arrival, each through the published state."""
+    events = cut(late.arrivals(table(spark, sf, "files_processed"), table(spark, sf, "file_meta")))
+    state = LateEvents(spark, shared_path(spark, "p2-state"))
+    low, high = events.agg(F.min("arrived_us"), F.max("arrived_us")).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    for i in range(4):
+        state.take(events.where(F.floor((F.col("arrived_us") - (low or 0)) / step) == i), i)
+    return state.windows().select("process_name", "prefix", "window_start", "n_files", "bytes")
+
+
 @R.add(sql=f"""WITH {EVENTS}, step AS (SELECT process_name, prefix, ms // 3600000 * 3600000 AS window_start, (epoch_us(done_at) // 3600000000 + 1) * 3600000000 AS emitted_us, count(*) AS n, sum(greatest(coalesce(size, 0), 0)) AS b
 FROM (SELECT j.*, d.size FROM judged j LEFT JOIN data d ON d.key = j.file_name WHERE coalesce(behind, 0) <= 21600000) GROUP BY ALL)
 SELECT process_name, prefix, window_start, emitted_us, count(*) OVER w AS revision, CAST(sum(n) OVER w AS BIGINT) AS n_files, CAST(sum(b) OVER w AS BIGINT) AS bytes

@@ -1,0 +1,557 @@
+"""Queries of the engine's own operators, over the whole tables, each with the same result in SQL where SQL can say it.
+
+A table's batch k is the rows with ``event_id % K = k``, appended in order of k.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakemill.functions.naming import compacted_of, file_name, millis_of, prefix_of
+from lakemill.functions.predicate import conjunction
+from lakemill.functions.transforms import Transform
+from lakemill.operators import dedup
+from lakemill.operators.listing import data_files, marked
+from lakemill.plans.compact import compact_table, eligible, greedy_groups
+from lakemill.plans.log import CommitConflict, Snapshot
+from lakemill.plans.schema import PartitionField, SortField, TableSchema
+from lakemill.plans.table import Catalog, LakeTable, TableConfig
+from lakemill.plans.wap import WapTransaction
+from lakemill.queries.problems import FILES
+from lakemill.queries.registry import Registry
+from lakemill.session import shared_path, table
+from lakemill.sources.files import read, window
+from lakemill.streaming import poll
+from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, file_ordinals, stream_to_table
+
+R = Registry()
+KEY = "event_id"
+
+
+def _schema(df: DataFrame, **how: object) -> TableSchema:
+    return TableSchema(df.schema, namespace="q", table="t", **how)
+
+
+def _catalog(spark: SparkSession) -> Catalog:
+    return Catalog(spark, shared_path(spark, "lake"))
+
+
+def _events(spark: SparkSession, sf: str, batches: int = 4, **how: object) -> tuple[LakeTable, list[Snapshot]]:
+    """``events`` as a table of ``batches`` appends."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e, **how)))
+    return t, [t.append(e.where(F.pmod(F.col(KEY), F.lit(batches)) == k)) for k in range(batches)]
+
+
+# -- scans
+
+
+@R.add(sql="SELECT * FROM events")
+def scan_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf)[0].scan()
+
+
+@R.add(sql="SELECT event_id, event_type FROM events")
+def scan_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf)[0].scan(["event_id", "event_type"])
+
+
+def _filtered(name: str, filters: list[str], where: str) -> None:
+    @R.add(name, f"SELECT event_id, user_id, event_type, value FROM events WHERE {where}")
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        return _events(spark, sf, 2)[0].scan(["event_id", "user_id", "event_type", "value"], filters)
+
+
+_filtered("filter_eq", ["event_type = click"], "event_type = 'click'")
+_filtered("filter_ne", ["event_type != 'click'"], "event_type <> 'click'")
+_filtered("filter_gt", ["value > 50"], "value > 50")
+_filtered("filter_ge", ["value >= 50.5"], "value >= 50.5")
+_filtered("filter_lt", ["user_id < 10"], "user_id < 10")
+_filtered("filter_le", ["event_id <= 100"], "event_id <= 100")
+_filtered("filter_conjunction", ["value >= 10.0", "event_type = click"], "value >= 10.0 AND event_type = 'click'")
+
+
+@R.add(sql="SELECT event_id, value FROM events ORDER BY event_id LIMIT 20")
+def scan_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf, 2)[0].scan(["event_id", "value"]).orderBy(KEY).limit(20)
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 4 <= 2")
+def scan_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = _events(spark, sf)
+    return t.scan(snapshot_id=s[2].id)
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 4 > 1")
+def scan_since_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = _events(spark, sf)
+    return t.scan_since(s[1].id)
+
+
+@R.add(sql="SELECT event_id, user_id, value FROM events WHERE event_id % 5 IN (2, 3) AND event_type = 'click'")
+def scan_snapshot_range(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = _events(spark, sf, 5)
+    return t.scan_range(s[1].id, s[3].id, ["event_id", "user_id", "value"], ["event_type = click"])
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 5 > 1")
+def scan_range_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = _events(spark, sf, 5)
+    compact_table(t, min_files=2)
+    return t.scan_since(s[1].id)
+
+
+def _by_days(spark: SparkSession, sf: str) -> LakeTable:
+    """Six snapshots of five days each (the last has the rest), at the start of the first day."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    for g in range(6):
+        at = 1_704_067_200_000 + g * 5 * 86_400_000
+        t.append(e.where(F.least(F.greatest(F.floor(day / 5), F.lit(0)), F.lit(5)) == g), timestamp_ms=at)
+    return t
+
+
+@R.add(sql="SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00'")
+def scan_at_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_days(spark, sf).scan_at(1_705_276_800_000)
+
+
+@R.add(sql="SELECT CAST(3 AS BIGINT) AS sequence, CAST(1704067200000 + 10 * 86400000 AS BIGINT) AS timestamp_ms")
+def snapshot_at_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    s = _by_days(spark, sf).snapshot_at(1_705_276_800_000)
+    return spark.createDataFrame([(s.sequence, s.timestamp_ms)], "sequence long, timestamp_ms long")
+
+
+@R.add(sql="SELECT CAST(1 AS BIGINT) AS sequence, CAST(1704067200000 AS BIGINT) AS timestamp_ms")
+def earliest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    s = _by_days(spark, sf).earliest()
+    return spark.createDataFrame([(s.sequence, s.timestamp_ms)], "sequence long, timestamp_ms long")
+
+
+@R.add(sql="SELECT CAST(k + 1 AS BIGINT) AS sequence, 'append' AS operation, CAST(n AS VARCHAR) AS records FROM (SELECT event_id % 4 AS k, count(*) AS n FROM events GROUP BY 1)")
+def snapshots_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf)[0].snapshots().select("sequence", "operation", F.col("summary")["added-records"].alias("records"))
+
+
+@R.add(sql="SELECT CAST(count(*) AS BIGINT) AS records FROM events")
+def files_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf)[0].files().agg(F.sum("rows").alias("records"))
+
+
+# -- files and their names
+
+KEYS = "keys AS (SELECT o_orderkey, 'orders_' || lower(o_orderstatus) AS pre, epoch_ms(o_orderdate) + o_orderkey AS ms, o_orderkey % 5 = 0 AS c FROM orders)"
+
+
+def _keys(spark: SparkSession, sf: str) -> DataFrame:
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)") + F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", file_name(F.concat(F.lit("orders_"), F.lower("o_orderstatus")), ms, F.col("o_orderkey") % 5 == 0).alias("key"))
+
+
+@R.add(sql=f"WITH {KEYS} SELECT o_orderkey, pre || '.' || ms || CASE WHEN c THEN '.c' ELSE '' END || '.parquet' AS key FROM keys")
+def file_meta_format(spark: SparkSession, sf: str) -> DataFrame:
+    return _keys(spark, sf)
+
+
+@R.add(sql=f"WITH {KEYS} SELECT o_orderkey, pre AS prefix, ms AS millis, c AS compacted FROM keys")
+def file_meta_parse(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("key")
+    return _keys(spark, sf).select("o_orderkey", prefix_of(k).alias("prefix"), millis_of(k).alias("millis"), compacted_of(k).alias("compacted"))
+
+
+@R.add(sql=f"WITH {KEYS} SELECT o_orderkey, ms AS millis FROM keys WHERE pre = 'orders_o' AND ms > 850000000000 AND ms <= 900000000000")
+def list_files_window(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("key")
+    files = _keys(spark, sf).where(prefix_of(k) == "orders_o").select("o_orderkey", millis_of(k).alias("millis"))
+    return window(files, 850_000_000_000, 900_000_000_000)
+
+
+@R.add(sql=f"WITH {FILES} SELECT key, prefix, millis FROM data WHERE NOT compacted AND key || '.processed' NOT IN (SELECT key FROM file_meta WHERE key IS NOT NULL)")
+def list_uncompacted(spark: SparkSession, sf: str) -> DataFrame:
+    listing = table(spark, sf, "file_meta")
+    return data_files(listing).where("NOT compacted").join(marked(listing), "key", "left_anti").select("key", "prefix", "millis")
+
+
+@R.add(sql="SELECT 0 AS file_no, row_number() OVER () - 1 AS row_no, r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 1, row_number() OVER () - 1, n_nationkey, n_name FROM nation")
+def read_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    out = shared_path(spark, "ordered")
+    for i, (name, k) in enumerate((("region", "r"), ("nation", "n"))):
+        table(spark, sf, name).select(F.col(f"{k}_{name}key").alias("id"), F.col(f"{k}_name").alias("name")).coalesce(1).write.parquet(f"{out}/{i}")
+    from lakemill.sources.storage import Storage
+
+    paths = [p for i in range(2) for p, _, _ in Storage(spark).files(f"{out}/{i}")]
+    return read(spark, paths, ordered=True).select("file_no", "row_no", "id", "name")
+
+
+# -- de-duplication
+
+
+@R.add(sql="SELECT doc_id, lang, source, text FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) = 1")
+def dedup_all_columns(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return dedup.first_rows(d, ["lang", "source", "text"], ["doc_id"])
+
+
+@R.add(sql="""SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1""")
+def dedup_identifier(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    return dedup.first_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], order)
+
+
+@R.add(sql="SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_rows, CAST(sum(n - 1) AS BIGINT) AS eliminated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.stats(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# -- partition transforms
+
+
+def _partitioned(name: str, source: str, column: str, transform: str, sql: str | None) -> None:
+    text = f"SELECT {sql} AS part, count(*) AS n FROM {source} GROUP BY 1" if sql else None
+
+    @R.add(name, text)
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        df = table(spark, sf, source)
+        return df.groupBy(Transform.parse(transform)(column, df.schema[column].dataType).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_partitioned("partition_identity", "events", "event_type", "identity", "event_type")
+_partitioned("partition_year", "orders", "o_orderdate", "year", "year(o_orderdate) - 1970")
+_partitioned("partition_month", "orders", "o_orderdate", "month", "(year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1")
+_partitioned("partition_day", "events", "ts", "day", "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))")
+_partitioned("partition_hour", "events", "ts", "hour", "CAST(floor(epoch_us(ts) / 3600000000) AS INTEGER)")
+_partitioned("partition_truncate_int", "lineitem", "l_orderkey", "truncate[100]", "l_orderkey - l_orderkey % 100")
+_partitioned("partition_truncate_str", "part", "p_name", "truncate[3]", "left(p_name, 3)")
+_partitioned("partition_bucket_str", "customer", "c_name", "bucket[16]", None)
+
+_M = lambda x, k: f"CAST(CAST({x} AS HUGEINT) * {k} % 4294967296 AS BIGINT)"
+_ROT = lambda x, n: f"((({x}) << {n}) & 4294967295 | (({x}) >> {32 - n}))"
+_MURMUR = f"""WITH v AS (SELECT l_orderkey AS v FROM lineitem),
+a AS (SELECT v & 4294967295 AS lo, (v >> 32) & 4294967295 AS hi FROM v),
+b AS (SELECT {_M("lo", 3432918353)} AS lo, {_M("hi", 3432918353)} AS hi FROM a),
+c AS (SELECT {_M(_ROT("lo", 15), 461845907)} AS lo, {_M(_ROT("hi", 15), 461845907)} AS hi FROM b),
+d AS (SELECT hi, CAST((CAST({_ROT("lo", 13)} AS HUGEINT) * 5 + 3864292196) % 4294967296 AS BIGINT) AS h FROM c),
+e AS (SELECT xor(h, hi) AS h FROM d), f AS (SELECT CAST((CAST({_ROT("h", 13)} AS HUGEINT) * 5 + 3864292196) % 4294967296 AS BIGINT) AS h FROM e),
+g AS (SELECT xor(h, 8) AS h FROM f), i AS (SELECT {_M("xor(h, h >> 16)", 2246822507)} AS h FROM g), j AS (SELECT {_M("xor(h, h >> 13)", 3266489909)} AS h FROM i), k AS (SELECT xor(h, h >> 16) AS h FROM j)
+SELECT CAST((h & 2147483647) % 16 AS INTEGER) AS part, count(*) AS n FROM k GROUP BY 1"""
+
+
+@R.add(sql=_MURMUR)
+def partition_bucket_long(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "lineitem")
+    return df.groupBy(Transform.parse("bucket[16]")("l_orderkey", T.LongType()).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(sql="SELECT CAST(ts AS DATE) AS day, count(DISTINCT event_id % 7) AS n_files FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 7) >= 5")
+def partition_file_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), (F.col(KEY) % 7).alias("batch"))
+    return e.groupBy("day").agg(F.countDistinct("batch").alias("n_files")).where("n_files >= 5")
+
+
+@R.add(sql="SELECT event_type, count(DISTINCT event_id % 5) >= 5 AS compact, count(*) AS records FROM events GROUP BY 1")
+def partitions_needing_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    t, _ = _events(spark, sf, 5, partitions=(PartitionField("event_type", Transform("identity")),))
+    m = t.metadata()
+    live = t.log.live(m, m.refs["main"])
+    groups = {dict(k[1])["event_type"] for k in eligible(live, 5)}
+    records: dict[str, int] = {}
+    for f in live:
+        records[f.partition["event_type"]] = records.get(f.partition["event_type"], 0) + f.rows
+    return spark.createDataFrame([(k, k in groups, n) for k, n in records.items()], "event_type string, compact boolean, records long")
+
+
+@R.add(sql="SELECT event_id, event_id % 4 AS file_no, row_number() OVER (PARTITION BY event_id % 4 ORDER BY value DESC NULLS LAST, event_id NULLS FIRST) AS place FROM events")
+def sort_within_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of four sorted files with their places in them, as read back."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e, sort=(SortField("value", True), SortField(KEY)))))
+    paths = []
+    for k in range(4):
+        paths += [f.path for f in t.write_files(e.where(F.pmod(F.col(KEY), F.lit(4)) == k).coalesce(1))]
+    return read(spark, paths, ordered=True).select(KEY, F.col("file_no").cast("long").alias("file_no"), (F.col("row_no") + 1).alias("place"))
+
+
+# -- compaction
+
+DAYS = "days AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(event_id % 97) AS BIGINT) AS size, count(*) AS n, row_number() OVER (ORDER BY CAST(ts AS DATE)) AS i FROM events GROUP BY 1)"
+GREEDY = f"""WITH RECURSIVE {DAYS}, g AS (SELECT i, day, size, n, CAST(0 AS BIGINT) AS grp, size AS held FROM days WHERE i = 1
+UNION ALL SELECT d.i, d.day, d.size, d.n, CASE WHEN g.held + d.size > 50000 THEN g.grp + 1 ELSE g.grp END, CASE WHEN g.held + d.size > 50000 THEN d.size ELSE g.held + d.size END FROM g JOIN days d ON d.i = g.i + 1)"""
+
+
+def _day_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Days as files: sizes are metadata, one row per file, planned on the driver."""
+    rows = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col(KEY) % 97).alias("size"), F.count(F.lit(1)).alias("n")).orderBy("day").collect()
+    groups = greedy_groups([r["size"] for r in rows], 50_000)
+    return spark.createDataFrame([(r["day"], r["size"], r["n"], g) for r, g in zip(rows, groups, strict=True)], "day date, size long, n long, grp long")
+
+
+@R.add(sql=f"{GREEDY} SELECT grp, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY grp")
+def compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return _day_groups(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+
+
+@R.add(sql=f"""{GREEDY}, rows AS (SELECT grp, user_id, event_type, count(*) AS n, min(event_id % 97) AS kept FROM g JOIN events ON CAST(ts AS DATE) = day GROUP BY ALL),
+o AS (SELECT grp, CAST(sum(n) AS BIGINT) AS rows_in, count(*) AS records, CAST(sum(kept) AS BIGINT) AS bytes_out FROM rows GROUP BY grp)
+SELECT o.grp, s.n_files, records, rows_in - records AS duplicates, greatest(0, s.bytes - bytes_out) AS bytes_saved FROM o JOIN (SELECT grp, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY grp) s ON s.grp = o.grp""")
+def compaction_result(spark: SparkSession, sf: str) -> DataFrame:
+    groups = _day_groups(spark, sf)
+    e = table(spark, sf, "events").withColumn("day", F.to_date("ts")).join(groups.select("day", "grp"), "day")
+    rows = e.groupBy("grp", "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col(KEY) % 97).alias("kept"))
+    out = rows.groupBy("grp").agg(F.sum("n").alias("rows_in"), F.count(F.lit(1)).alias("records"), F.sum("kept").alias("bytes_out"))
+    files = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+    return out.join(files, "grp").select("grp", "n_files", "records", (F.col("rows_in") - F.col("records")).alias("duplicates"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - F.col("bytes_out")).alias("bytes_saved"))
+
+
+@R.add(sql="SELECT * FROM events")
+def compact_execute(spark: SparkSession, sf: str) -> DataFrame:
+    t, _ = _events(spark, sf, 5)
+    compact_table(t)
+    return t.scan()
+
+
+@R.add(sql="SELECT * FROM events")
+def compact_dedup_execute(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    for k in range(6):
+        t.append(e.where(F.pmod(F.col(KEY), F.lit(3)) == k % 3))
+    compact_table(t, dedup=True)
+    return t.scan()
+
+
+@R.add(sql="SELECT * FROM events")
+def compact_mixed_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """One commit over all partitions, then four of one partition only: that one is compacted, the others stay as they are."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e, partitions=(PartitionField("event_type", Transform("identity")),))))
+    click, part = F.col("event_type") == "click", F.pmod(F.col(KEY), F.lit(5))
+    t.append(e.where(~click | (part == 0)))
+    for k in range(1, 5):
+        t.append(e.where(click & (part == k)))
+    compact_table(t, min_files=5)
+    return t.scan()
+
+
+# -- schemas and types
+
+
+@R.add(sql="SELECT event_id, value, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END AS event_type FROM events")
+def schema_evolve_add(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "value", "event_type")
+    c = _catalog(spark)
+    t = c.create(TableConfig(_schema(e.drop("event_type"))))
+    t.append(e.where("event_id % 2 = 0").drop("event_type"))
+    t, _, _ = c.ensure(TableConfig(_schema(e)))
+    t.append(e.where("event_id % 2 <> 0"))
+    return t.scan()
+
+
+@R.add(sql="SELECT event_id, event_type, CASE WHEN event_id % 3 = 2 THEN value END AS value FROM events")
+def schema_evolve_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """``value`` is dropped and later added again: its old values don't come back."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    c = _catalog(spark)
+    t = c.create(TableConfig(_schema(e)))
+    t.append(e.where("event_id % 3 = 0"))
+    c.ensure(TableConfig(_schema(e.drop("value"))))
+    t.append(e.where("event_id % 3 = 1").drop("value"))
+    c.ensure(TableConfig(_schema(e)))
+    t.append(e.where("event_id % 3 = 2"))
+    return t.scan()
+
+
+@R.add(sql="SELECT CAST(l_orderkey AS DECIMAL(20, 0)) AS u64, CAST(l_partkey AS BIGINT) AS u32, CAST(l_linenumber AS SMALLINT) AS u8, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL")
+def unsigned_cast(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("u64"), F.col("l_partkey").alias("u32"), F.col("l_linenumber").alias("u8"))
+    s = T.StructType([T.StructField("u64", T.DecimalType(20, 0)), T.StructField("u32", T.LongType()), T.StructField("u8", T.ShortType())])
+    t = _catalog(spark).create(TableConfig(TableSchema(s, namespace="q", table="t")))
+    t.append(src)
+    return t.scan().groupBy("u64", "u32", "u8").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(sql="SELECT vec_id, label, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first, label AS in_struct, vec_id AS in_map FROM embeddings")
+def nested_types(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.struct(F.col("label").alias("l")).alias("s"), F.create_map(F.lit("id"), "vec_id").alias("m"))
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    t.append(e)
+    return t.scan().select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].cast("double").alias("first"), F.col("s.l").alias("in_struct"), F.col("m")["id"].alias("in_map"))
+
+
+@R.add(sql="SELECT user_id, count(DISTINCT event_type) AS n_types, min(event_type) AS first_type FROM events GROUP BY user_id")
+def array_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A set column loses repeated elements on write."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))
+    s = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()), True, {"set": True})])
+    t = _catalog(spark).create(TableConfig(TableSchema(s, namespace="q", table="t")))
+    t.append(e)
+    return t.scan().select("user_id", F.size("types").cast("long").alias("n_types"), F.array_min("types").alias("first_type"))
+
+
+@R.add(sql="SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS entries FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def map_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    entries = F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return m.select("user_id", F.array_join(entries, ",").alias("entries"))
+
+
+# -- branches
+
+
+def _wap(spark: SparkSession, sf: str) -> tuple[LakeTable, WapTransaction]:
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e), wap=True))
+    t.append(e.where("event_id % 2 = 0"))
+    tx = WapTransaction(t, "audit-1")
+    tx.write(e.where("event_id % 2 <> 0"))
+    return t, tx
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 2 = 0")
+def wap_unpublished(spark: SparkSession, sf: str) -> DataFrame:
+    return _wap(spark, sf)[0].scan()
+
+
+@R.add(sql="SELECT * FROM events")
+def wap_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _wap(spark, sf)[1].audit()
+
+
+@R.add(sql="SELECT * FROM events")
+def wap_published(spark: SparkSession, sf: str) -> DataFrame:
+    t, tx = _wap(spark, sf)
+    tx.publish()
+    return t.scan()
+
+
+@R.add(sql="SELECT 'refused' AS status, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def publish_conflict(spark: SparkSession, sf: str) -> DataFrame:
+    """Main moves on after the branch was made: publishing is refused, and main keeps its rows."""
+    e = table(spark, sf, "events")
+    t, tx = _wap(spark, sf)
+    t.append(e.where("event_id % 2 <> 0 AND event_id % 3 = 0"))
+    try:
+        tx.publish()
+        status = "published"
+    except CommitConflict:
+        status = "refused"
+    return t.scan().agg(F.lit(status).alias("status"), F.count(F.lit(1)).alias("n"))
+
+
+# -- sinks
+
+
+@R.add(sql="SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 100) AS BIGINT) AS file_no FROM events")
+def rotate_by_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return file_ordinals(table(spark, sf, "events"), [KEY], Rotation(max_rows=100, batch_rows=50)).select(KEY, "file_no")
+
+
+@R.add(sql="SELECT CAST(epoch_us(ts) // 180000000 AS BIGINT) AS turn, count(*) AS n FROM events GROUP BY 1")
+def rotate_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return table(spark, sf, "events").groupBy(F.floor(micros / 180_000_000).cast("long").alias("turn")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(sql="SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows through the row sink: half rolled back and written again, files rotated every 60 rows."""
+    df = table(spark, sf, "supplier")
+    sink = ParquetSink(shared_path(spark, "sink").removeprefix("file:"), "supplier", df.schema, Rotation(max_rows=60, batch_rows=20))
+    sink.write_all(df.where("s_suppkey % 2 = 0").toLocalIterator())
+    sink.rollback()
+    sink.write_all(df.toLocalIterator())
+    return read(spark, sink.commit())
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 2 = 0")
+def wal_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """A process dies after its commit and before its record is removed; two more recover: the rows are there once."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    wal = shared_path(spark, "wal").removeprefix("file:")
+    sink = LakeSink(t, "events", wal)
+    entries = t.write_files(e.where("event_id % 2 = 0"))
+    sink.wal.record("events", t.location, "main", entries)
+    t.commit_files(entries)
+    LakeSink(t, "events", wal)
+    LakeSink(t, "events", wal)
+    return t.scan()
+
+
+# -- pollers
+
+
+@R.add(sql="SELECT process_name, file_type, max(file_timestamp) AS latest FROM files_processed GROUP BY ALL")
+def poller_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return poll.latest(table(spark, sf, "files_processed"))
+
+
+@R.add(sql="""SELECT process_name, file_type, greatest(1704700000000, epoch_ms(max(file_timestamp)) - 600000) AS after_start, greatest(1706000000000 - 864000000, epoch_ms(max(file_timestamp)) - 600000) AS after_most
+FROM files_processed GROUP BY ALL""")
+def poller_after(spark: SparkSession, sf: str) -> DataFrame:
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(latest as timestamp_ntz))")
+    rows = poll.latest(table(spark, sf, "files_processed")).select("process_name", "file_type", ms.alias("ms"))
+    start, most = poll.Lookback(start_ms=1_704_700_000_000), poll.Lookback(most_ms=864_000_000)
+    begin = lambda how: F.greatest(F.lit(how.after(None, 1_706_000_000_000)).cast("long"), F.col("ms") - poll.OFFSET_MS)
+    return rows.select("process_name", "file_type", begin(start).alias("after_start"), begin(most).alias("after_most"))
+
+
+@R.add(sql=f"""WITH {FILES}, l AS (SELECT DISTINCT s.process_name, d.key AS file_name FROM data d JOIN subscription s ON s.file_type = d.prefix WHERE NOT d.compacted)
+SELECT process_name, file_name FROM l ANTI JOIN files_processed f ON f.process_name = l.process_name AND f.file_name = l.file_name""")
+def poller_unprocessed(spark: SparkSession, sf: str) -> DataFrame:
+    files = data_files(table(spark, sf, "file_meta")).where("NOT compacted").select(F.col("key").alias("file_name"), F.col("prefix").alias("file_type"))
+    listing = files.join(table(spark, sf, "subscription").distinct(), "file_type").select("process_name", "file_name")
+    return poll.unprocessed(listing, table(spark, sf, "files_processed"))
+
+
+@R.add(sql="""WITH r AS (SELECT *, row_number() OVER (PARTITION BY process_name, file_type ORDER BY file_timestamp DESC) AS n FROM files_processed),
+c AS (SELECT process_name, file_type, least(file_timestamp, TIMESTAMP '2024-01-10 00:00:00') AS cut FROM r WHERE n = 101)
+SELECT process_name, file_type, count(*) AS n FROM files_processed LEFT JOIN c USING (process_name, file_type) WHERE cut IS NULL OR file_timestamp >= cut GROUP BY ALL""")
+def poller_retention(spark: SparkSession, sf: str) -> DataFrame:
+    from datetime import UTC
+
+    kept = poll.retained(table(spark, sf, "files_processed"), now=datetime(2024, 1, 10, 0, 10, tzinfo=UTC))
+    return kept.groupBy("process_name", "file_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(sql="SELECT * FROM events")
+def poller_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Three files in micro-batches of one into a table; a file of another prefix is left alone."""
+    from lakemill.sources.storage import Storage
+
+    e, root, store = table(spark, sf, "events"), shared_path(spark, "inbox"), Storage(spark)
+    for k in range(3):
+        e.where(F.pmod(F.col(KEY), F.lit(3)) == k).coalesce(1).write.parquet(f"{root}-aside/{k}")
+        for i, (p, _, _) in enumerate(store.files(f"{root}-aside/{k}")):
+            store.rename(p, f"{root}/{'events' if not i else 'other'}.{1_704_067_200_000 + k}.parquet")
+    e.limit(0).coalesce(1).write.parquet(f"{root}-aside/other")
+    for p, _, _ in store.files(f"{root}-aside/other"):
+        store.rename(p, f"{root}/events_v2.1704067200000.parquet")
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    stream_to_table(poll.stream_files(spark, root, "events", e.schema, 1), t, shared_path(spark, "progress")).awaitTermination()
+    return t.scan()
+
+
+@R.add(sql="SELECT * FROM events WHERE event_id % 4 > 0")
+def poller_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas after the first snapshot, each asked for twice before it is acknowledged."""
+    t, s = _events(spark, sf)
+    p, out = poll.SnapshotPoller(t, s[0].id), None
+    while (d := p.poll()) is not None:
+        d = p.poll()
+        out = d.rows if out is None else out.unionByName(d.rows)
+        d.ack()
+    return out
+
+
+@R.add(sql="SELECT event_type, count(*) AS n FROM events WHERE value >= 10 GROUP BY event_type")
+def predicate_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The filter grammar on a plain table."""
+    return table(spark, sf, "events").where(conjunction(["value >= 10"])).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
