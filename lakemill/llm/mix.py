@@ -148,6 +148,5 @@ def shares(mixture: DataFrame, plan: list[Quota]) -> DataFrame:
     schema = "source string, weight double, max_repeats long, available_tokens long, wanted_tokens double, quota_tokens long, short boolean"
     asked = spark.createDataFrame([(q.source, q.weight, q.max_repeats, q.available, float(q.wanted), q.quota, q.short) for q in plan], schema)
     x = asked.join(used, "source", "left").na.fill(0, ["uses", "used_tokens", "most_repeats"])
-    total = used.agg(F.sum("used_tokens").alias("total_tokens"))
-    x = x.join(F.broadcast(total))  # one row
+    x = x.withColumn("total_tokens", F.sum("used_tokens").over(Window.partitionBy()))  # no more rows than targets
     return x.withColumn("actual_share", F.when(F.col("total_tokens") > 0, F.col("used_tokens") / F.col("total_tokens")).otherwise(0.0)).drop("total_tokens")
