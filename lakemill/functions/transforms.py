@@ -64,29 +64,18 @@ class Transform:
         return bucket(column, dtype, self.width)
 
 
-def _rotl(c: Column, n: int) -> Column:
-    return F.shiftleft(c, n).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftrightunsigned(c, 32 - n))
-
-
-def _mul(c: Column, k: int) -> Column:
-    """c times k modulo 2**32, for c below 2**32, in halves so that no product overflows a long."""
-    low = c.bitwiseAND(F.lit(0xFFFF)) * F.lit(k)
-    high = (F.shiftrightunsigned(c, 16) * F.lit(k)).bitwiseAND(F.lit(0xFFFF))
-    return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _round(h: Column, k: Column) -> Column:
-    h = _rotl(h.bitwiseXOR(_mul(_rotl(_mul(k, 0xCC9E2D51), 15), 0x1B873593)), 13)
-    return (_mul(h, 5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _seed_zero() -> int:
+    """The int whose 32-bit murmur3 from seed 42 is 0: what Spark's ``hash`` must see first to go on from seed 0."""
+    m = 1 << 32
+    back = lambda x, n: (x >> n | x << (32 - n)) % m
+    h = back((4 - 0xE6546B64) * pow(5, -1, m) % m, 13)
+    x = back((h ^ 42) * pow(0x1B873593, -1, m) % m, 15) * pow(0xCC9E2D51, -1, m) % m
+    return x - m if x >= m >> 1 else x
 
 
 def murmur3_long(c: Column) -> Column:
-    """32-bit murmur3 (x86, seed 0) of a long's eight bytes, little-endian, unsigned, within the JVM."""
-    low, high = c.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)
-    h = _round(_round(F.lit(0).cast("long"), low), high).bitwiseXOR(F.lit(8))
-    h = _mul(h.bitwiseXOR(F.shiftrightunsigned(h, 16)), 0x85EBCA6B)
-    h = _mul(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+    """32-bit murmur3 (x86, seed 0) of a long's eight bytes, little-endian, by Spark's own hash within generated code."""
+    return F.when(c.isNotNull(), F.hash(F.lit(_seed_zero()), c).cast("long"))
 
 
 def murmur3_bytes(data: bytes) -> int:
