@@ -15,8 +15,11 @@ def epoch_micros(column: str) -> Column:
 
 def sensor_name(column: str) -> Column:
     """``sensor-`` and the number in the text with at least four digits; null if there is no number."""
+    c = F.col(column)
+    # most names are in the right form already, which needs no regular expression to see
+    right = (F.length(c) == 11) & c.startswith("sensor-") & (F.translate(F.substring(c, 8, 4), "0123456789", "") == "")
     number = F.regexp_replace(F.regexp_extract(column, r"([0-9]+)", 1), "^0+(?=.)", "")
-    return F.when(number != "", F.concat(F.lit("sensor-"), F.lpad(number, 4, "0").substr(F.lit(1), F.greatest(F.lit(0), F.lit(4) - F.length(number))), number))
+    return F.when(right, c).when(number != "", F.concat(F.lit("sensor-"), F.lpad(number, 4, "0").substr(F.lit(1), F.greatest(F.lit(0), F.lit(4) - F.length(number))), number))
 
 
 def event_seconds(column: str) -> Column:
