@@ -138,6 +138,15 @@ def join_frames(parts: Iterable[bytes]) -> Iterator[bytes]:
             yield data
 
 
+def _store(path: str) -> tuple:
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, form: str = "lines", header: bool = False) -> DataFrame:
     """Carries out a plan over files below ``root`` that the executors can read; returns a report, one row per output.
 
@@ -153,8 +162,8 @@ def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, fo
 
         from pyarrow import fs as pafs
 
-        store, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-        dest, dest_base = pafs.FileSystem.from_uri(out) if "://" in out else (pafs.LocalFileSystem(), out)
+        store, base = _store(root)
+        dest, dest_base = _store(out)
         read = {"n": 0, "crc": 0}
 
         def parts() -> Iterator[bytes]:
@@ -190,3 +199,43 @@ def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, fo
         return pd.DataFrame({"output_key": [key[0]], "n_files": [len(files)], "bytes_in": [read["n"]], "bytes_out": [0 if error else wrote], "sha256": [None if error else digest.hexdigest()], "error": [error]})
 
     return planned.select("output_key", "millis", "key", "size").groupBy("output_key").applyInPandas(merge, "output_key string, n_files long, bytes_in long, bytes_out long, sha256 string, error string")
+
+
+def write_lines(records: DataFrame, root: str, file: str = "file_key", order: str = "record_id", line: str = "payload") -> DataFrame:
+    """Writes each file's lines below ``root`` as it would have come in; ``key, size, n_lines`` of each file.
+
+    Lines go out as they are read, so the longest file needs no memory; null lines are left out, and so is the newline at the
+    end of a file unless its last line is empty. A repeated task writes the same bytes again.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(root)
+        store.create_dir(base, recursive=True)
+        now, out, size, n, last = None, None, 0, 0, ""
+
+        def close() -> tuple | None:
+            nonlocal size
+            if out is None:
+                return None
+            if n and not last:
+                out.write(b"\n")
+                size += 1
+            out.close()
+            return (now, size, n)
+
+        for frame in frames:
+            done = []
+            for key, text in zip(frame["k"], frame["l"], strict=True):
+                if key != now:
+                    if (row := close()) is not None:
+                        done.append(row)
+                    now, out, size, n = key, store.open_output_stream(f"{base}/{key}"), 0, 0
+                data = (b"\n" if n else b"") + text.encode()
+                out.write(data)
+                size, n, last = size + len(data), n + 1, text
+            yield pd.DataFrame(done, columns=["key", "size", "n_lines"])
+        if (row := close()) is not None:
+            yield pd.DataFrame([row], columns=["key", "size", "n_lines"])
+
+    x = records.where(F.col(file).isNotNull() & F.col(line).isNotNull()).select(F.col(file).alias("k"), F.col(order).alias("o"), F.col(line).alias("l"))
+    return x.repartition("k").sortWithinPartitions("k", "o", "l").select("k", "l").mapInPandas(write, "key string, size long, n_lines long")

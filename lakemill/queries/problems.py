@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.functions.naming import millis_of, prefix_of
 from lakemill.operators import drift, grid, incremental, late, smallfiles, spikes
 from lakemill.operators.listing import data_files
 from lakemill.queries.registry import Registry
@@ -186,6 +187,23 @@ def p6_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return smallfiles.outputs(planned).drop("output_key")
 
 
+@R.add(sql=r"""WITH lines AS (SELECT file_key, regexp_extract(file_key, '^([a-z0-9_]+)\.([0-9]+)\.parquet$', 1) AS feed, CAST(regexp_extract(file_key, '^([a-z0-9_]+)\.([0-9]+)\.parquet$', 2) AS BIGINT) AS ms, record_id, payload FROM raw_record WHERE payload IS NOT NULL),
+f AS (SELECT file_key, feed, ms // 2592000000 AS day, ms, sum(octet_length(encode(payload)) + 1) AS all_bytes, sum(octet_length(encode(payload)) + 1) - CASE WHEN arg_max(payload, record_id) <> '' THEN 1 ELSE 0 END AS size FROM lines GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY feed, day ORDER BY ms, file_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1048576 AS output_no FROM f)
+SELECT feed, CAST(day AS BIGINT) AS day, CAST(output_no AS BIGINT) AS output_no, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes_in, CAST(sum(all_bytes) AS BIGINT) AS bytes_out, true AS whole FROM o GROUP BY ALL""")
+def p6_concat(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw lines of every feed written as files, and these joined byte by byte to outputs of about 1 MiB per month."""
+    root = shared_path(spark, "p6-lines")
+    files = cut(smallfiles.write_lines(table(spark, sf, "raw_record"), f"{root}/in"))
+    key = F.col("key")
+    listed = files.select("key", "size", prefix_of(key).alias("prefix"), millis_of(key).alias("millis")).withColumn("day", F.floor(F.col("millis") / (30 * smallfiles.DAY_MS)).cast("long"))
+    planned = cut(smallfiles.plan(listed, target=1 << 20))
+    report = smallfiles.concatenate(spark, planned, f"{root}/in", f"{root}/out")
+    outputs = planned.groupBy("prefix", "day", "output_no", "output_key").agg(F.count(F.lit(1)).alias("n_files"))
+    x = outputs.join(report.drop("n_files"), "output_key")
+    return x.select(F.col("prefix").alias("feed"), "day", "output_no", "n_files", "bytes_in", "bytes_out", (F.col("error").isNull() & F.col("sha256").isNotNull()).alias("whole"))
+
+
 FIELDS = r"""
 good AS (SELECT file_key, payload, regexp_extract(file_key, '^([a-z0-9_]+)\.([0-9]+)\.parquet$', 1) AS feed, CAST(regexp_extract(file_key, '^([a-z0-9_]+)\.([0-9]+)\.parquet$', 2) AS BIGINT) AS ms,
          json_valid(payload) AND payload LIKE '{%' AS ok FROM raw_record),

@@ -347,6 +347,13 @@ def test_concatenation_round_trip(spark, tmp_path, form):
     assert not [p for p in out.rglob(".*")]
 
 
+def test_lines_are_written_as_they_are(spark, tmp_path):
+    data = [(2, "a", "y"), (1, "a", "x"), (3, "b", ""), (4, "c", "é"), (5, "c", ""), (6, "d", None), (7, None, "z")]
+    got = rows(smallfiles.write_lines(spark.createDataFrame(data, "record_id long, file_key string, payload string"), str(tmp_path / "w")))
+    assert got == [("a", 3, 2), ("b", 1, 1), ("c", 4, 2)]
+    assert [(tmp_path / "w" / k).read_bytes() for k in "abc"] == [b"x\ny", b"\n", "é\n\n".encode()]
+
+
 # -- drifting schemas
 
 
