@@ -77,6 +77,12 @@ def advance(events: DataFrame, watermarks: DataFrame | None = None, windows: Dat
     return Advanced(accepted, diverted, marks, fresh.drop("touched"))
 
 
+def merge_windows(windows: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """The windows after an upsert: aggregates of the same window are added up."""
+    both = fresh if windows is None else windows.unionByName(fresh)
+    return both.groupBy(*WINDOW).agg(F.sum("n_files").alias("n_files"), F.sum("bytes").alias("bytes"), F.max("last_arrived_us").alias("last_arrived_us"))
+
+
 def revisions(accepted: DataFrame, width_ms: int = HOUR_MS, every_us: int = 3600 * 10**6) -> DataFrame:
     """The upserts as emitted once per ``every_us`` of arrival time: each row replaces the window's last one.
 

@@ -1,6 +1,6 @@
 """Late and out-of-order events as a stream: each micro-batch goes through ``operators.late.advance``.
 
-The state tables are versions in a folder. A batch writes its new watermarks and windows and what it diverted, then publishes
+The state tables are versions in a folder, the windows by day of event time, so a batch rewrites only the days it touches. A batch writes its new watermarks and windows and what it diverted, then publishes
 them by one atomic create under its own number, so a repeated batch finds itself published and does nothing.
 """
 
@@ -9,10 +9,14 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakemill.operators.late import HOUR_MS, WINDOW, advance
+from lakemill.operators.late import HOUR_MS, WINDOW, advance, merge_windows
+from lakemill.session import cut
 from lakemill.sources.storage import Storage
 
+DAY_MS = 86_400_000
+
 
 class LateEvents:
     def __init__(self, spark: SparkSession, path: str, lateness_ms: int = 6 * HOUR_MS, width_ms: int = HOUR_MS) -> None:
@@ -27,22 +31,26 @@ class LateEvents:
         n, state = self._state()
         if batch_id <= n:
             return
-        read = lambda k: self.spark.read.parquet(state[k]) if k in state else None
-        windows = read("windows")
-        a = advance(events, read("marks"), windows, self.lateness_ms, self.width_ms)
+        marks = self.spark.read.parquet(state["marks"]) if "marks" in state else None
+        a = advance(events, marks, None, self.lateness_ms, self.width_ms)
         base = f"{self.path}/data/{batch_id}-{self.storage.unique()}"
         a.watermarks.write.parquet(f"{base}/marks")
-        a.upserts.write.parquet(f"{base}/upserts")
         a.diverted.write.parquet(f"{base}/late")
-        fresh = self.spark.read.parquet(f"{base}/upserts")
-        merged = fresh if windows is None else windows.join(fresh, WINDOW, "left_anti").unionByName(fresh)
-        merged.write.parquet(f"{base}/windows")
-        new = {"marks": f"{base}/marks", "windows": f"{base}/windows", "upserts": f"{base}/upserts", "late": [*state["late"], f"{base}/late"]}
+        day = F.floor(F.col("window_start") / DAY_MS).cast("long")
+        fresh = cut(a.upserts)
+        touched = sorted(str(r[0]) for r in fresh.select(day).distinct().collect())  # as many as days with new events
+        days = dict(state.get("days", {}))
+        old = [days[d] for d in touched if d in days]
+        merged = cut(merge_windows(self.spark.read.parquet(*old) if old else None, fresh))
+        merged.join(fresh.select(*WINDOW), WINDOW, "left_semi").write.parquet(f"{base}/upserts")
+        merged.withColumn("day", day).repartition("day").write.partitionBy("day").parquet(f"{base}/windows")
+        days |= {d: f"{base}/windows/day={d}" for d in touched}
+        new = {"marks": f"{base}/marks", "days": days, "upserts": f"{base}/upserts", "late": [*state["late"], f"{base}/late"]}
         self.storage.create(f"{self.path}/versions/{batch_id}.json", json.dumps(new))
 
     def windows(self) -> DataFrame | None:
         _, s = self._state()
-        return self.spark.read.parquet(s["windows"]) if "windows" in s else None
+        return self.spark.read.parquet(*s["days"].values()) if s.get("days") else None
 
     def upserts(self) -> DataFrame | None:
         """The windows that the last batch changed."""
