@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.operators.ordered import Scan, scan  # noqa: F401
 from lakemill.session import cut
 from lakemill.sources.storage import Storage
 
@@ -67,6 +66,16 @@ class Target:
             parts = json.loads(self.storage.read(f"{self.path}/versions/{version}.json"))["parts"]
         return self.spark.read.parquet(*[f"{self.path}/data/{p}" for p in parts]) if parts else None
 
+    def replace(self, rows: DataFrame) -> int:
+        """Publishes ``rows`` as the whole next version; its number. Earlier versions stay readable."""
+        n, _ = self.current()
+        part = f"{n + 1}-{self.storage.unique()}"
+        rows.write.parquet(f"{self.path}/data/{part}")
+        if not self.storage.create(f"{self.path}/versions/{n + 1}.json", json.dumps({"parts": [part]})):
+            self.storage.delete(f"{self.path}/data/{part}")
+            raise Conflict(f"version {n + 1} of {self.path} was published by another run")
+        return n + 1
+
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, done: DataFrame | None = None) -> DataFrame:
         """Processes what is new and publishes it; returns the rows added, read from what was published.
 

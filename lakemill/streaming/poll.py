@@ -52,7 +52,8 @@ def retained(state: DataFrame, offset_ms: int = OFFSET_MS, keep: int = KEEP_ROWS
     per = per.withColumn("__o", -micros).withColumn("__slice", F.floor(F.col("__o") / 86_400_000_000))
     ranked = scan(per, keys, "__slice", ["__o"], [Scan("newer", "n", "sum", "before")])
     cut = ranked.where((F.col("newer") <= keep) & (F.col("newer") + F.col("n") > keep)).select(*keys, F.col("file_timestamp").alias("at_keep"))
-    limit = F.least(F.col("at_keep"), F.lit(datetime.fromtimestamp(now.timestamp() - offset_ms / 1000, UTC).replace(tzinfo=None)).cast(state.schema["file_timestamp"].dataType))
+    floor = datetime.fromtimestamp(now.timestamp() - offset_ms / 1000, UTC)
+    limit = F.least(F.col("at_keep"), F.lit(floor.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(state.schema["file_timestamp"].dataType))
     return state.join(cut, keys, "left").where(F.col("at_keep").isNull() | (F.col("file_timestamp") >= limit)).drop("at_keep")
 
 
@@ -123,6 +124,12 @@ class FilePoller:
             self.state.run(self.spark.createDataFrame(rows, STATE))
         return good
 
+    def clean(self, now: datetime | None = None, keep: int = KEEP_ROWS) -> None:
+        """Drops from the state what no later turn can ask for (see ``retained``)."""
+        state = self.state.read()
+        if state is not None:
+            self.state.replace(retained(state, self.offset_ms, keep, now))
+
     def run(self, stop, every: float = POLL_S) -> None:  # noqa: ANN001
         while not stop.is_set():
             self.poll()

@@ -24,7 +24,9 @@ from lakemill.plans.log import CommitConflict, NoSuchSnapshot
 from lakemill.plans.schema import PartitionField, SchemaError, SortField, TableSchema, first_columns, fixed_binary, lake, lake_schema, reconcile, spark_type
 from lakemill.plans.table import Catalog, TableConfig
 from lakemill.plans.wap import WapError, WapTransaction
+from lakemill.settings import Settings
 from lakemill.sources import files as loose
+from lakemill.sources.upload import FileUpload
 from lakemill.stats import Counters, observed
 from lakemill.streaming import poll
 from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, SinkClosed, file_ordinals, write_files
@@ -609,6 +611,37 @@ def test_retention(spark):
     assert rows(kept.groupBy("file_type").count()) == [("a", 101), ("b", 100)]
 
 
+def test_state_is_cleaned(spark, tmp_path):
+    loose_files(spark, tmp_path / "in", 4)
+    p = poll.FilePoller(spark, str(tmp_path / "in"), "events", "p", str(tmp_path / "state"), lambda f, df: None, offset_ms=0)
+    p.poll()
+    p.clean(keep=2)
+    assert p.state.read().count() == 3 and p.poll() == []
+
+
+def test_upload(spark, tmp_path):
+    up = FileUpload(spark, str(tmp_path / "store"), wait=0.01, attempts=2)
+    for i in range(7):
+        (tmp_path / f"f{i}").write_bytes(b"x" * i)
+        up.submit(str(tmp_path / f"f{i}"))
+    up.submit(str(tmp_path / "absent"))
+    assert len(up.drain()) == 7 and (tmp_path / "store" / "f3").read_bytes() == b"xxx" and not (tmp_path / "f3").exists()
+    (tmp_path / "g").write_bytes(b"x")
+    bad = FileUpload(spark, "nosuch://x", wait=0.01, attempts=2)
+    bad.submit(str(tmp_path / "g"))
+    with pytest.raises(Exception):
+        bad.drain()
+    assert (tmp_path / "g").exists()
+
+
+def test_settings():
+    s = Settings.parse('bucket = "b"\nendpoint = "http://x"')
+    assert s.region == "us-west-2" and s.root == "s3a://b" and s.spark_conf()["spark.hadoop.fs.s3a.bucket.b.path.style.access"] == "true"
+    for bad in ("", 'bucket = "b"\nwhat = 1'):
+        with pytest.raises(TypeError):
+            Settings.parse(bad)
+
+
 def test_snapshot_poller(spark, catalog):
     t = make(catalog)
     p = poll.SnapshotPoller(t)
