@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakemill.operators.ordered import Scan, scan
 from lakemill.operators.readings import usable
-from lakemill.session import cut
+from lakemill.session import cut, stored
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def decide(found: DataFrame) -> DataFrame:
     """
     delta = F.col("other_time") - F.col("event_time")
     per = found.groupBy("sensor", "event_time", "reading_id").agg(*[F.min(F.when(delta == d, F.col("other_id"))).alias(n) for d, n in ((-1, "before"), (0, "same"), (1, "after"))])
-    per = cut(per)
+    per = stored(per, "matches")
     first = per.where("same IS NULL")
 
     def steps(side: str, sign: int) -> DataFrame:
@@ -212,7 +212,7 @@ def judge(readings: DataFrame, width: int = 3600, shard_rows: int = 50_000) -> D
     """
     x = usable(readings).where("reading_id IS NOT NULL").select("sensor", "event_time", "reading_id", F.coalesce("batch_id", F.lit(0)).cast("long").alias("batch_id"))
     # a batch is first de-duplicated in itself
-    batches = cut(x.groupBy("sensor", "event_time", "batch_id").agg(F.min("reading_id").alias("reading_id")))
+    batches = stored(x.groupBy("sensor", "event_time", "batch_id").agg(F.min("reading_id").alias("reading_id")), "batches")
     decided = decide(matches(batches, width, shard_rows))
     seconds = batches.groupBy("sensor", "event_time").agg(F.min("reading_id").alias("first_id"))
     status = seconds.join(decided.select("sensor", "event_time", "kept_id"), ["sensor", "event_time"], "left")
