@@ -1,7 +1,8 @@
 """Late and out-of-order events as a stream: each micro-batch goes through ``operators.late.advance``.
 
-The state tables are versions in a folder, the windows by day of event time, so a batch rewrites only the days it touches. A batch writes its new watermarks and windows and what it diverted, then publishes
-them by one atomic create under its own number, so a repeated batch finds itself published and does nothing.
+The state tables are versions in a folder, the windows by day of event time, so a batch rewrites only the days it touches.
+A batch writes its new watermarks and windows and what it diverted, then publishes them by one atomic create under its own
+number, so a repeated batch finds itself published and does nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from lakemill.session import cut
 from lakemill.sources.storage import Storage
 
 DAY_MS = 86_400_000
+WINDOWS = "process_name string, prefix string, window_start long, n_files long, bytes long, last_arrived_us long"
+LATE = "process_name string, file_name string, arrived_us long, file_type string, event_ms long, prefix string, bytes long, behind_ms long"
 
 
 class LateEvents:
@@ -48,18 +51,21 @@ class LateEvents:
         new = {"marks": f"{base}/marks", "days": days, "upserts": f"{base}/upserts", "late": [*state["late"], f"{base}/late"]}
         self.storage.create(f"{self.path}/versions/{batch_id}.json", json.dumps(new))
 
-    def windows(self) -> DataFrame | None:
-        _, s = self._state()
-        return self.spark.read.parquet(*s["days"].values()) if s.get("days") else None
+    def _of(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def upserts(self) -> DataFrame | None:
+    def windows(self) -> DataFrame:
+        """All windows as they stand."""
+        return self._of(list(self._state()[1].get("days", {}).values()), WINDOWS)
+
+    def upserts(self) -> DataFrame:
         """The windows that the last batch changed."""
-        _, s = self._state()
-        return self.spark.read.parquet(s["upserts"]) if "upserts" in s else None
+        s = self._state()[1]
+        return self._of([s["upserts"]] if "upserts" in s else [], WINDOWS)
 
-    def late(self) -> DataFrame | None:
-        _, s = self._state()
-        return self.spark.read.parquet(*s["late"]) if s["late"] else None
+    def late(self) -> DataFrame:
+        """What was diverted so far, with how far it was behind."""
+        return self._of(self._state()[1]["late"], LATE)
 
     def start(self, stream: DataFrame, checkpoint: str, seconds: float | None = None):  # noqa: ANN201
         w = stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint)
