@@ -522,7 +522,7 @@ def poller_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(sql="SELECT * FROM events")
 def poller_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Three files in micro-batches of one into a table; a file of another prefix is left alone."""
+    """Three files in micro-batches of one into a table; a file of another prefix and a compacted one are left alone."""
     from lakemill.sources.storage import Storage
 
     e, root, store = table(spark, sf, "events"), shared_path(spark, "inbox"), Storage(spark)
@@ -533,6 +533,9 @@ def poller_stream(spark: SparkSession, sf: str) -> DataFrame:
     e.limit(0).coalesce(1).write.parquet(f"{root}-aside/other")
     for p, _, _ in store.files(f"{root}-aside/other"):
         store.rename(p, f"{root}/events_v2.1704067200000.parquet")
+    e.where(F.pmod(F.col(KEY), F.lit(3)) == 0).coalesce(1).write.parquet(f"{root}-aside/compacted")
+    for p, _, _ in store.files(f"{root}-aside/compacted"):
+        store.rename(p, f"{root}/events.1704067200000.c.parquet")
     t = _catalog(spark).create(TableConfig(_schema(e)))
     stream_to_table(poll.stream_files(spark, root, "events", e.schema, 1), t, shared_path(spark, "progress")).awaitTermination()
     return t.scan()

@@ -137,8 +137,12 @@ class FilePoller:
 
 
 def stream_files(spark: SparkSession, root: str, prefix: str, schema, per_trigger: int = QUEUE) -> DataFrame:  # noqa: ANN001
-    """New files of exactly one prefix as a streaming DataFrame; progress is in the query's checkpoint."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{prefix}.[0-9]*.parquet").option("maxFilesPerTrigger", per_trigger).parquet(root)
+    """New files of exactly one prefix as a streaming DataFrame; progress is in the query's checkpoint.
+
+    Compacted files are not new data: a glob's ``*`` would span the dot of ``.c``, so the digits are spelled out.
+    """
+    millis = ",".join("[0-9]" * n for n in range(1, 19))  # as many as ``naming.PATTERN`` allows
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{prefix}.{{{millis}}}.parquet").option("maxFilesPerTrigger", per_trigger).parquet(root)
 
 
 @dataclass

@@ -29,7 +29,7 @@ from lakemill.sources import files as loose
 from lakemill.sources.upload import FileUpload
 from lakemill.stats import Counters, observed
 from lakemill.streaming import poll
-from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, SinkClosed, file_ordinals, write_files
+from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, SinkClosed, file_ordinals, stream_to_table, write_files
 from tests.conftest import rows
 
 PAIR = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
@@ -598,6 +598,20 @@ def test_file_poller(spark, tmp_path):
     assert boom.poll() == [] and boom.poll() == [] and all(n == 2 for n, _ in boom.failed.values())
 
 
+def test_stream_leaves_compacted_files_alone(spark, tmp_path, catalog):
+    root, schema = tmp_path / "in", "id long, name string"
+    loose_files(spark, root, 3)
+    pq.write_table(pa.table({"id": [9], "name": ["one digit"]}), root / "events.5.parquet")
+    t = catalog.create(TableConfig(TableSchema(spark.createDataFrame([], schema).schema, namespace="a", table="streamed")))
+    turn = lambda: stream_to_table(poll.stream_files(spark, str(root), "events", schema), t, str(tmp_path / "progress")).awaitTermination()
+    turn()
+    before = rows(t.scan())
+    assert len(before) == 7
+    assert FileCompactor(spark, str(root), "events").run().files_created == 1
+    turn()
+    assert rows(t.scan()) == before
+
+
 def test_lookback():
     assert poll.Lookback(start_ms=5).after(None, 100) == 5 and poll.Lookback(start_ms=5).after(1_000_000, 0) == 400_000
     assert poll.Lookback(most_ms=30).after(None, 100) == 70 and poll.Lookback(most_ms=30).after(600_010, 100) == 70
