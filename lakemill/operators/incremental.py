@@ -42,7 +42,10 @@ def pending(source: DataFrame, done: DataFrame, key: list[str], version: str) ->
 
 @dataclass
 class Target:
-    """A versioned table in a folder: ``versions/N.json`` lists the data folders that make up version N."""
+    """A versioned table in a folder: ``versions/N.json`` lists the data folders that make up version N.
+
+    What else the file names (see ``run``) is part of the version and passes on to the next one.
+    """
 
     spark: SparkSession
     path: str
@@ -52,12 +55,24 @@ class Target:
     def __post_init__(self) -> None:
         self.storage = Storage(self.spark)
 
+    def manifest(self) -> tuple[int, dict]:
+        """The newest version's number and what its file says; 0 and no parts before the first."""
+        n = max((int(n.removesuffix(".json")) for n in self.storage.names(f"{self.path}/versions") if n.endswith(".json")), default=0)
+        return n, json.loads(self.storage.read(f"{self.path}/versions/{n}.json")) if n else {"parts": []}
+
     def current(self) -> tuple[int, list[str]]:
-        names = [int(n.removesuffix(".json")) for n in self.storage.names(f"{self.path}/versions") if n.endswith(".json")]
-        if not names:
-            return 0, []
-        n = max(names)
-        return n, json.loads(self.storage.read(f"{self.path}/versions/{n}.json"))["parts"]
+        n, m = self.manifest()
+        return n, m["parts"]
+
+    def stage(self, rows: DataFrame) -> str:
+        """Writes rows that no version names yet; the name of their part."""
+        part = f"beside-{self.storage.unique()}"
+        try:
+            rows.write.parquet(f"{self.path}/data/{part}")
+        except BaseException:
+            self.storage.delete(f"{self.path}/data/{part}")
+            raise
+        return part
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version (the newest by default); None before the first."""
@@ -66,22 +81,28 @@ class Target:
             parts = json.loads(self.storage.read(f"{self.path}/versions/{version}.json"))["parts"]
         return self.spark.read.parquet(*[f"{self.path}/data/{p}" for p in parts]) if parts else None
 
-    def replace(self, rows: DataFrame) -> int:
-        """Publishes ``rows`` as the whole next version; its number. Earlier versions stay readable."""
-        n, _ = self.current()
+    def replace(self, rows: DataFrame, onto: int | None = None) -> int:
+        """Publishes ``rows`` as the whole next version (``onto``: see ``run``); its number. Earlier versions stay readable."""
+        n, m = self.manifest()
+        if onto is not None and n != onto:
+            raise Conflict(f"version {onto + 1} of {self.path} was published by another run")
         part = f"{n + 1}-{self.storage.unique()}"
         rows.write.parquet(f"{self.path}/data/{part}")
-        if not self.storage.create(f"{self.path}/versions/{n + 1}.json", json.dumps({"parts": [part]})):
+        if not self.storage.create(f"{self.path}/versions/{n + 1}.json", json.dumps(m | {"parts": [part]})):
             self.storage.delete(f"{self.path}/data/{part}")
             raise Conflict(f"version {n + 1} of {self.path} was published by another run")
         return n + 1
 
-    def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, done: DataFrame | None = None) -> DataFrame:
+    def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, done: DataFrame | None = None, beside: dict | None = None, onto: int | None = None) -> DataFrame:
         """Processes what is new and publishes it; returns the rows added, read from what was published.
 
         ``done``: further rows of key and version that count as processed. ``transform`` must keep key and version.
+        ``beside``: what the version's file is to say besides its parts. ``onto``: the version that must still be the newest.
         """
-        n, parts = self.current()
+        n, m = self.manifest()
+        if onto is not None and n != onto:
+            raise Conflict(f"version {onto + 1} of {self.path} was published by another run")
+        parts = m["parts"]
         had = self.read() if parts else None
         cols = [*self.key, self.version]
         known = [x.select(*cols) for x in (had, done) if x is not None]
@@ -95,7 +116,7 @@ class Target:
             fresh = pending(source, source.select(*cols).limit(0), self.key, self.version)
         part = f"{n + 1}-{self.storage.unique()}"
         (transform or (lambda x: x))(fresh).write.parquet(f"{self.path}/data/{part}")
-        if not self.storage.create(f"{self.path}/versions/{n + 1}.json", json.dumps({"parts": [*parts, part]})):
+        if not self.storage.create(f"{self.path}/versions/{n + 1}.json", json.dumps(m | (beside or {}) | {"parts": [*parts, part]})):
             self.storage.delete(f"{self.path}/data/{part}")
             raise Conflict(f"version {n + 1} of {self.path} was published by another run")
         return self.spark.read.parquet(f"{self.path}/data/{part}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.naming import FileMeta
-from lakemill.operators.incremental import Target
+from lakemill.operators.incremental import Conflict, Target
 from lakemill.plans.log import Snapshot
 from lakemill.plans.table import LakeTable
 from lakemill.sources import files as loose
@@ -74,7 +74,8 @@ class FilePoller:
     """Hands each new file of a prefix to ``consume(meta, rows)`` and records it in the same target version.
 
     ``consume`` returns the rows to keep (or None); they and the record of the files are published together, so a failed turn
-    repeats and a finished one never does. A file that can't be read, or that ``consume`` fails on, goes to ``failed`` and is tried
+    repeats and a finished one never does. ``rows`` reads what was published. Pollers of other processes and prefixes may share
+    the state; of two that take the same file, one publishes and the other's turn is a ``Conflict``. A file that can't be read, or that ``consume`` fails on, goes to ``failed`` and is tried
     again next turn up to ``attempts`` times. Compacted files are not new data.
     """
 
@@ -92,9 +93,34 @@ class FilePoller:
     def __post_init__(self) -> None:
         self.state = Target(self.spark, self.state_path, ["process_name", "file_name"], "file_timestamp")
 
+    def rows(self) -> DataFrame | None:
+        """What ``consume`` returned for all files processed; None if it returned no rows yet."""
+        parts = self.state.manifest()[1].get("rows", {}).get(self._label, [])
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.state_path}/data/{p}" for p in parts]) if parts else None
+
+    @property
+    def _label(self) -> str:
+        return f"{self.prefix}:{self.process}"
+
+    def _publish(self, seen: int, good: list[FileMeta], parts: list[str]) -> None:
+        """The record of the files and the rows of ``parts`` as one version; ``seen``: the version that the turn began with."""
+        at = datetime.now(UTC)
+        done = self.spark.createDataFrame([(self.process, f.key, self.prefix, datetime.fromtimestamp(f.millis / 1000, UTC), at) for f in good], STATE)
+        while True:
+            n, m = self.state.manifest()
+            if n != seen and unprocessed(done, self.state.read(n)).count() < len(good):
+                raise Conflict(f"files of {self._label} were taken by another poller")
+            rows = m.get("rows", {})
+            try:
+                self.state.run(done, beside={"rows": rows | {self._label: [*rows.get(self._label, []), *parts]}}, onto=n)
+                return
+            except Conflict:
+                continue  # another poller published first
+
     def poll(self, now_ms: int | None = None) -> list[FileMeta]:
         """One turn; the files processed."""
         now_ms = now_ms or int(time.time() * 1000)
+        seen = self.state.manifest()[0]
         state = self.state.read()
         mine = state.where((F.col("process_name") == self.process) & (F.col("file_type") == self.prefix)) if state is not None else None
         newest = mine.agg(F.max(F.unix_millis("file_timestamp"))).first()[0] if mine is not None else None
@@ -104,7 +130,7 @@ class FilePoller:
             done = {r[0] for r in mine.where(F.unix_millis("file_timestamp") > after).select("file_name").collect()}  # the window's files only
             found = [f for f in found if f.key not in done]
         bad = loose.check_sizes(self.spark, [f.key for f in found])
-        good = []
+        good, parts = [], []
         for f in found:
             tries = self.failed.get(f.key, (0, ""))[0]
             if tries >= self.attempts:
@@ -112,23 +138,28 @@ class FilePoller:
             try:
                 if f.key in bad:
                     raise loose.BadParquet(bad[f.key])
-                self.consume(f, loose.read(self.spark, [f.key]))
+                kept = self.consume(f, loose.read(self.spark, [f.key]))
+                if kept is not None:
+                    parts.append(self.state.stage(kept))
                 good.append(f)
                 self.failed.pop(f.key, None)
                 counters.add("poller.files", 1, self.process)
             except Exception as e:
                 self.failed[f.key] = (tries + 1, str(e)[:300])
         if good:
-            at = datetime.now(UTC)
-            rows = [(self.process, f.key, self.prefix, datetime.fromtimestamp(f.millis / 1000, UTC), at) for f in good]
-            self.state.run(self.spark.createDataFrame(rows, STATE))
+            try:
+                self._publish(seen, good, parts)
+            except Conflict:  # after other errors the version may be there: what no version names does no harm
+                for p in parts:
+                    self.state.storage.delete(f"{self.state_path}/data/{p}")
+                raise
         return good
 
     def clean(self, now: datetime | None = None, keep: int = KEEP_ROWS) -> None:
         """Drops from the state what no later turn can ask for (see ``retained``)."""
-        state = self.state.read()
-        if state is not None:
-            self.state.replace(retained(state, self.offset_ms, keep, now))
+        n, _ = self.state.manifest()
+        if n:
+            self.state.replace(retained(self.state.read(n), self.offset_ms, keep, now), onto=n)
 
     def run(self, stop, every: float = POLL_S) -> None:  # noqa: ANN001
         while not stop.is_set():

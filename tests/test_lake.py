@@ -19,6 +19,7 @@ from lakemill.functions.naming import FileMeta, NameError_
 from lakemill.functions.predicate import FilterError, Predicate, literal
 from lakemill.functions.transforms import Transform, TransformError, murmur3_bytes
 from lakemill.operators import dedup
+from lakemill.operators.incremental import Conflict
 from lakemill.plans.compact import FileCompactor, Scheduler, compact_table, greedy_groups, needs_compaction
 from lakemill.plans.log import CommitConflict, NoSuchSnapshot
 from lakemill.plans.schema import PartitionField, SchemaError, SortField, TableSchema, first_columns, fixed_binary, lake, lake_schema, reconcile, spark_type
@@ -598,6 +599,39 @@ def test_file_poller(spark, tmp_path):
     assert boom.poll() == [] and boom.poll() == [] and all(n == 2 for n, _ in boom.failed.values())
 
 
+def test_file_poller_publishes_rows_with_state(spark, tmp_path):
+    root, state = tmp_path / "in", str(tmp_path / "state")
+    loose_files(spark, root, 3)
+
+    def consume(f, df):
+        return df.withColumn("x", F.raise_error(F.lit("late"))) if f.millis == 1001 else df.where("id % 2 = 0").select("id", F.lit(f.millis).alias("ms"))
+
+    p = poll.FilePoller(spark, str(root), "events", "p", state, consume)
+    assert p.rows() is None
+    assert [f.millis for f in p.poll()] == [1000, 1002] and len(p.failed) == 1  # rows that fail when they are written are their file's failure
+    assert rows(p.rows()) == [(0, 1000), (2, 1002)] and p.state.manifest()[0] == 1
+    other = poll.FilePoller(spark, str(root), "events", "q", state, lambda f, df: df.select("name"))
+    other.poll()
+    assert other.rows().count() == 6
+    again = poll.FilePoller(spark, str(root), "events", "p", state, lambda f, df: df.select("id", F.lit(f.millis).alias("ms"), F.lit("more").alias("y")))
+    again.poll()
+    again.poll()
+    again.clean(keep=1)
+    assert rows(again.rows()) == [(0, 1000, None), (1, 1001, "more"), (2, 1001, "more"), (2, 1002, None)]
+
+
+def test_file_poller_publishes_nothing_if_another_took_the_file(spark, tmp_path):
+    root, state = tmp_path / "in", str(tmp_path / "state")
+    loose_files(spark, root, 1)
+    first = poll.FilePoller(spark, str(root), "events", "p", state, lambda f, df: df)
+    second = poll.FilePoller(spark, str(root), "events", "p", state, lambda f, df: (first.poll(), df)[1])
+    with pytest.raises(Conflict):
+        second.poll()
+    assert first.rows().count() == 2 and len(list((tmp_path / "state" / "data").iterdir())) == 2
+    third = poll.FilePoller(spark, str(root), "events", "q", state, lambda f, df: (poll.FilePoller(spark, str(root), "events", "r", state, lambda f, df: df).poll(), df)[1])
+    assert len(third.poll()) == 1 and third.rows().count() == 2 and first.rows().count() == 2
+
+
 def test_stream_leaves_compacted_files_alone(spark, tmp_path, catalog):
     root, schema = tmp_path / "in", "id long, name string"
     loose_files(spark, root, 3)
