@@ -75,8 +75,10 @@ class FilePoller:
 
     ``consume`` returns the rows to keep (or None); they and the record of the files are published together, so a failed turn
     repeats and a finished one never does. ``rows`` reads what was published. Pollers of other processes and prefixes may share
-    the state; of two that take the same file, one publishes and the other's turn is a ``Conflict``. A file that can't be read, or that ``consume`` fails on, goes to ``failed`` and is tried
-    again next turn up to ``attempts`` times. Compacted files are not new data.
+    the state; of two that take the same file, one publishes and the other's turn is a ``Conflict``. A file that can't be read,
+    or that ``consume`` fails on, goes to ``failed`` and is tried again next turn, whatever its time, up to ``attempts`` times.
+    ``failed`` (key -> attempts and the last error) is stored with the state, so the next instance goes on with it. Compacted
+    files are not new data.
     """
 
     spark: SparkSession
@@ -102,17 +104,19 @@ class FilePoller:
     def _label(self) -> str:
         return f"{self.prefix}:{self.process}"
 
-    def _publish(self, seen: int, good: list[FileMeta], parts: list[str]) -> None:
-        """The record of the files and the rows of ``parts`` as one version; ``seen``: the version that the turn began with."""
+    def _publish(self, seen: int, good: list[FileMeta], parts: list[str], tried: list[FileMeta]) -> None:
+        """The record of the files, the rows of ``parts`` and ``failed`` as one version; ``seen``: the version that the turn began with."""
         at = datetime.now(UTC)
-        done = self.spark.createDataFrame([(self.process, f.key, self.prefix, datetime.fromtimestamp(f.millis / 1000, UTC), at) for f in good], STATE)
+        record = lambda files: self.spark.createDataFrame([(self.process, f.key, self.prefix, datetime.fromtimestamp(f.millis / 1000, UTC), at) for f in files], STATE)
+        done = record(good)
         while True:
             n, m = self.state.manifest()
-            if n != seen and unprocessed(done, self.state.read(n)).count() < len(good):
+            if n != seen and unprocessed(record(tried), self.state.read(n)).count() < len(tried):
                 raise Conflict(f"files of {self._label} were taken by another poller")
-            rows = m.get("rows", {})
+            rows, failed = m.get("rows", {}), m.get("failed", {})
+            beside = {"rows": rows | {self._label: [*rows.get(self._label, []), *parts]}, "failed": failed | {self._label: self.failed}}
             try:
-                self.state.run(done, beside={"rows": rows | {self._label: [*rows.get(self._label, []), *parts]}}, onto=n)
+                self.state.run(done, beside=beside, onto=n)
                 return
             except Conflict:
                 continue  # another poller published first
@@ -120,21 +124,26 @@ class FilePoller:
     def poll(self, now_ms: int | None = None) -> list[FileMeta]:
         """One turn; the files processed."""
         now_ms = now_ms or int(time.time() * 1000)
-        seen = self.state.manifest()[0]
+        seen, m = self.state.manifest()
+        if self._label in m.get("failed", {}):
+            self.failed = {k: (n, why) for k, (n, why) in m["failed"][self._label].items()}
         state = self.state.read()
         mine = state.where((F.col("process_name") == self.process) & (F.col("file_type") == self.prefix)) if state is not None else None
         newest = mine.agg(F.max(F.unix_millis("file_timestamp"))).first()[0] if mine is not None else None
         after = self.lookback.after(newest, now_ms, self.offset_ms)
-        found = [f for f in loose.list_files(self.spark, self.root, self.prefix, after) if not f.compacted]
+        again = {k for k, (n, _) in self.failed.items() if n < self.attempts}
+        found = [f for f in loose.list_files(self.spark, self.root, self.prefix) if not f.compacted and (f.millis > after or f.key in again)]
         if mine is not None and found:
-            done = {r[0] for r in mine.where(F.unix_millis("file_timestamp") > after).select("file_name").collect()}  # the window's files only
+            since = min(after, *[f.millis - 1 for f in found])  # the files of the window, and back to the first that is tried again
+            done = {r[0] for r in mine.where(F.unix_millis("file_timestamp") > since).select("file_name").collect()}
             found = [f for f in found if f.key not in done]
         bad = loose.check_sizes(self.spark, [f.key for f in found])
-        good, parts = [], []
+        good, parts, tried = [], [], []
         for f in found:
             tries = self.failed.get(f.key, (0, ""))[0]
             if tries >= self.attempts:
                 continue
+            tried.append(f)
             try:
                 if f.key in bad:
                     raise loose.BadParquet(bad[f.key])
@@ -146,9 +155,9 @@ class FilePoller:
                 counters.add("poller.files", 1, self.process)
             except Exception as e:
                 self.failed[f.key] = (tries + 1, str(e)[:300])
-        if good:
+        if tried:
             try:
-                self._publish(seen, good, parts)
+                self._publish(seen, good, parts, tried)
             except Conflict:  # after other errors the version may be there: what no version names does no harm
                 for p in parts:
                     self.state.storage.delete(f"{self.state_path}/data/{p}")

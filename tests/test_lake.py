@@ -632,6 +632,31 @@ def test_file_poller_publishes_nothing_if_another_took_the_file(spark, tmp_path)
     assert len(third.poll()) == 1 and third.rows().count() == 2 and first.rows().count() == 2
 
 
+def test_file_poller_tries_old_failures_again(spark, tmp_path):
+    root, state, hour = tmp_path / "in", str(tmp_path / "state"), 3_600_000
+    root.mkdir()
+    for i in range(6):  # a backlog of hours
+        pq.write_table(pa.table({"id": [i]}), root / FileMeta.name("events", 1000 + i * hour))
+    (root / "events.1000.parquet").write_bytes(b"")
+    fails = {1000 + hour: 1, 1000 + 2 * hour: 9}
+
+    def consume(f, df):
+        fails[f.millis] = fails.get(f.millis, 0) - 1
+        if fails[f.millis] >= 0:
+            raise ValueError("not now")
+        return df
+
+    new = lambda: poll.FilePoller(spark, str(root), "events", "p", state, consume)
+    p = new()
+    assert [f.millis // hour for f in p.poll()] == [3, 4, 5] and [n for n, _ in p.failed.values()] == [1, 1, 1]
+    pq.write_table(pa.table({"id": [0]}), root / "events.1000.parquet")
+    p = new()  # another instance knows what failed
+    assert [f.millis // hour for f in p.poll()] == [0, 1] and [n for n, _ in p.failed.values()] == [2]
+    assert new().poll() == [] and new().poll() == []
+    assert fails[1000 + 2 * hour] == 6  # three attempts and no more
+    assert rows(p.rows()) == [(0,), (1,), (3,), (4,), (5,)]
+
+
 def test_stream_leaves_compacted_files_alone(spark, tmp_path, catalog):
     root, schema = tmp_path / "in", "id long, name string"
     loose_files(spark, root, 3)
