@@ -210,6 +210,22 @@ def test_flags_match_definition(spark):
     assert spikes.implausible(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.08, 0.2])
+def test_no_spike_is_lost_beside_extreme_values(spark, share):
+    rng = np.random.default_rng(5)
+    n = 3000
+    v = 20 + rng.normal(0, 0.2, n)
+    v[np.arange(7, n, 23)] += 0.2 * rng.uniform(8, 15, len(np.arange(7, n, 23))) * rng.choice([-1, 1], len(np.arange(7, n, 23)))
+    bad = rng.random(n) < share
+    v[bad] = rng.choice([-9999.0, 5000.0, 850.0], bad.sum())
+    df = spark.createDataFrame([reading(i, "sensor-1", T0 + 60 * i, float(x)) for i, x in enumerate(v)], READING)
+    got = spikes.flags(df).where("metric = 'temperature'").toPandas()
+    sigma = spikes.statistics(spikes.features(spikes.series(df))).where("metric = 'temperature'").first()["scatter"]
+    want = brute_spikes(v, sigma)
+    assert len(want - set(np.flatnonzero(bad))) > 40 and set(got[got.spike].reading_id) == want
+    assert not got[got.reading_id.isin(want)].score.isna().any()
+
+
 def test_forest_isolates_what_is_far():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(0, 1, (500, 3)), [[12, 12, 12]]]
