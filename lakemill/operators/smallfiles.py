@@ -138,6 +138,24 @@ def join_frames(parts: Iterable[bytes]) -> Iterator[bytes]:
             yield data
 
 
+def kept(data: bytes, first: bool, form: str = "lines", header: bool = False) -> list[memoryview | bytes]:
+    """What of a file must be in its output, by positions in the file; ``first``: no file before it had content.
+
+    This says apart from the joins what these must yield, so that an output can be checked against its sources.
+    """
+    view, begin = memoryview(data), 3 if form == "lines" and data[:3] == b"\xef\xbb\xbf" else 0
+    if begin == len(data) or form == "zstd":
+        return [view[begin:]]
+    out: list[memoryview | bytes] = []
+    if header:
+        end = data.find(b"\n", begin)
+        stop = len(data) if end < 0 else end
+        if first:
+            out += [view[begin : stop - (stop > begin and data[stop - 1] == 13)], b"\n"]
+        begin = len(data) if end < 0 else end + 1
+    return [*out, view[begin:], *([b"\n"] if begin < len(data) and data[-1] != 10 else [])]
+
+
 def _store(path: str) -> tuple:
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs as pafs
@@ -151,8 +169,9 @@ def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, fo
     """Carries out a plan over files below ``root`` that the executors can read; returns a report, one row per output.
 
     ``planned``: ``output_key, millis, key, size``. Each output is one task's: files are read one at a time, their length
-    checked against ``size`` (null: not known), written to a hidden name, checked by length and checksum and only
-    then renamed; an output that exists already with the right length is left alone, so a repeated task does no harm.
+    checked against ``size`` (null: not known), written to a hidden name, read back, checked by length and checksum
+    against what the sources must give (see ``kept``) and only then renamed; an output that exists already with this length
+    and checksum is left alone, so a repeated task does no harm.
     ``error`` is null or says why an output was not written; then none of its files may be removed.
     """
     join = {"lines": lambda parts: join_lines(parts, header), "zstd": join_frames}[form]
@@ -164,7 +183,15 @@ def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, fo
 
         store, base = _store(root)
         dest, dest_base = _store(out)
-        read = {"n": 0, "crc": 0}
+        read = {"n": 0, "length": 0, "crc": 0}
+
+        def summed(path: str) -> tuple[int, int, str]:
+            crc, length, digest = 0, 0, hashlib.sha256()
+            with dest.open_input_stream(path) as f:
+                while piece := f.read(1 << 20):
+                    crc, length = zlib.crc32(piece, crc), length + len(piece)
+                    digest.update(piece)
+            return length, crc, digest.hexdigest()
 
         def parts() -> Iterator[bytes]:
             for name, size in zip(files["key"], files["size"], strict=True):
@@ -172,31 +199,32 @@ def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, fo
                     data = f.read()
                 if size is not None and not pd.isna(size) and len(data) != int(size):
                     raise BadFile(f"{name}: {len(data)} bytes, listed with {int(size)}")
+                for piece in kept(data, not read["length"], form, header):
+                    read["length"], read["crc"] = read["length"] + len(piece), zlib.crc32(piece, read["crc"])
                 read["n"] += len(data)
                 yield data
 
         files = files.sort_values(["millis", "key"], kind="stable")
-        path, error, wrote, crc, digest = f"{dest_base}/{key[0]}", None, 0, 0, hashlib.sha256()
+        path, error, wrote, digest = f"{dest_base}/{key[0]}", None, 0, None
         tmp = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{os.getpid()}.tmp")
         try:
             dest.create_dir(os.path.dirname(path), recursive=True)
             with dest.open_output_stream(tmp) as f:
                 for piece in join(parts()):
                     f.write(piece)
-                    wrote, crc = wrote + len(piece), zlib.crc32(piece, crc)
-                    digest.update(piece)
-            back, length = 0, 0
-            with dest.open_input_stream(tmp) as f:
-                while piece := f.read(1 << 20):
-                    back, length = zlib.crc32(piece, back), length + len(piece)
-            if (back, length) != (crc, wrote):
-                raise BadFile("what was written reads back differently")
-            dest.move(tmp, path)
+            wrote, crc, digest = summed(tmp)
+            if (wrote, crc) != (read["length"], read["crc"]):
+                raise BadFile(f"{wrote} bytes were written, checksum {crc}; the sources give {read['length']}, {read['crc']}")
+            there = dest.get_file_info(path)
+            if there.type == pafs.FileType.File and there.size == wrote and summed(path)[1] == crc:
+                dest.delete_file(tmp)
+            else:
+                dest.move(tmp, path)
         except (BadFile, OSError) as e:
             error = str(e)[:500]
             if dest.get_file_info(tmp).type != pafs.FileType.NotFound:
                 dest.delete_file(tmp)
-        return pd.DataFrame({"output_key": [key[0]], "n_files": [len(files)], "bytes_in": [read["n"]], "bytes_out": [0 if error else wrote], "sha256": [None if error else digest.hexdigest()], "error": [error]})
+        return pd.DataFrame({"output_key": [key[0]], "n_files": [len(files)], "bytes_in": [read["n"]], "bytes_out": [0 if error else wrote], "sha256": [None if error else digest], "error": [error]})
 
     return planned.select("output_key", "millis", "key", "size").groupBy("output_key").applyInPandas(merge, "output_key string, n_files long, bytes_in long, bytes_out long, sha256 string, error string")
 

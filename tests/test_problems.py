@@ -327,6 +327,41 @@ def test_joining_lines():
     assert join([]) == b""
 
 
+@pytest.mark.parametrize("header", [False, True])
+def test_sources_say_what_lines_must_be_joined(header):
+    rng = random.Random(8)
+    for _ in range(3000):
+        top = rng.choice([b"h", b"", b"h\r"]) if header else b""
+        parts = []
+        for _ in range(rng.randrange(5)):
+            body = b"".join(rng.choice([b"a", b"\n", b"\r", b"\r\n", b"\xef\xbb\xbf"]) for _ in range(rng.randrange(5)))
+            parts.append(rng.choice([b"", b"\xef\xbb\xbf"]) + (rng.choice([b"", top, top + b"\n" + body]) if header else body))
+        got = b""
+        for data in parts:
+            got += b"".join(smallfiles.kept(data, not got, "lines", header))
+        try:
+            assert got == b"".join(smallfiles.join_lines(parts, header))
+        except smallfiles.BadFile:  # headers differ
+            assert header
+
+
+@pytest.mark.parametrize("form", ["lines", "zstd"])
+def test_fault_in_a_join_is_found(spark, tmp_path, monkeypatch, form):
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        (tmp_path / "in" / f"a.{i}").write_bytes(zstandard.compress(b"x\n") if form == "zstd" else b"x\ny")
+    plan = spark.createDataFrame([("all", i, f"a.{i}", None) for i in range(2)], "output_key string, millis long, key string, size long")
+    run = lambda: smallfiles.concatenate(spark, plan, str(tmp_path / "in"), str(tmp_path / "out"), form).first()
+    assert run()["error"] is None
+    good, at = (tmp_path / "out" / "all").read_bytes(), (tmp_path / "out" / "all").stat()
+    assert run()["error"] is None and (tmp_path / "out" / "all").stat().st_ino == at.st_ino  # left alone
+    name, join = ("join_frames", smallfiles.join_frames) if form == "zstd" else ("join_lines", smallfiles.join_lines)
+    monkeypatch.setattr(smallfiles, name, lambda parts, *how: list(join(parts, *how))[:-1])
+    r = run()
+    assert "the sources give" in r["error"] and r["bytes_out"] == 0 and r["sha256"] is None
+    assert (tmp_path / "out" / "all").read_bytes() == good and len(list((tmp_path / "out").iterdir())) == 1
+
+
 def test_joining_frames():
     c = zstandard.ZstdCompressor(write_checksum=True)
     parts = [c.compress(b"a" * 100_000), b"", zstandard.ZstdCompressor(write_content_size=False).compress(b"b\n"), b"\x50\x2a\x4d\x18\x03\x00\x00\x00xyz" + c.compress(b"")]
