@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakemill.llm import mix, pack, split, suffix
 from lakemill.queries.problems import READINGS
 from lakemill.queries.registry import Registry
-from lakemill.session import table
+from lakemill.session import shared_path, table
 
 R = Registry()
 
@@ -30,6 +30,17 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).where("kept_id IS NOT NULL").select("kept_id", F.col("reading_id").alias("duplicate_id"))
 
 
+@R.add(sql=f"{DECIDED} SELECT kept_id, reading_id AS duplicate_id FROM judged WHERE kept_id IS NOT NULL")
+def p5_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches one after the other through the stored index, which each of them grows; their ids go up with ``reading_id``."""
+    x = table(spark, sf, "sensor_reading")
+    history, out = suffix.History(spark, shared_path(spark, "p5-history")), spark.createDataFrame([], "kept_id long, duplicate_id long")
+    for (b,) in x.where("reading_id IS NOT NULL").select(F.coalesce("batch_id", F.lit(0)).alias("b")).distinct().sort("b").collect():
+        batch = x.where((F.col("batch_id") == b) | F.col("batch_id").isNull() if b == 0 else F.col("batch_id") == b)
+        out = out.unionByName(history.accept(batch).where("kept_id IS NOT NULL").select("kept_id", F.col("reading_id").alias("duplicate_id")))
+    return out
+
+
 @R.add(sql=f"{DECIDED} SELECT batch_id, count(*) AS n, CAST(count(kept_id) AS BIGINT) AS n_rejected FROM judged GROUP BY batch_id")
 def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count("kept_id").alias("n_rejected"))

@@ -6,7 +6,8 @@ enough repeats an accepted one. Segments are never changed; two of a level merge
 about log2 of the number of batches.
 
 For readings the record is ``sensor:second;`` and the substrings are whole records at the same second and the seconds to
-both sides. The matches go to an exact check that decides in order of ``reading_id`` which readings are accepted.
+both sides: a record is covered wholly or not at all, so coverage reduces to equality (``whole_records``), and ``coverage``,
+which adds up long matches per record, isn't in their path. The matches go to an exact check that decides in order of ``reading_id`` which readings are accepted.
 """
 
 from __future__ import annotations
