@@ -113,7 +113,25 @@ def p2_late_report(spark: SparkSession, sf: str) -> DataFrame:
     return _advance(spark, sf).diverted.groupBy("process_name", "prefix").agg(F.count(F.lit(1)).alias("n_late"), F.max("behind_ms").alias("most_behind_ms"))
 
 
-@R.add()
+_GROUPS = " UNION ALL ".join(f"""SELECT sensor, metric, n, {n} AS length, greatest(least_ - greatest(before, after), least(before, after) - most) AS d FROM (SELECT *,
+ median(v) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before, median(v) OVER (w ROWS BETWEEN {n} FOLLOWING AND {n + 4} FOLLOWING) AS after,
+ min(v) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS least_, max(v) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS most,
+ count(*) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS held FROM s WINDOW w AS (PARTITION BY sensor, metric ORDER BY n)) WHERE held = {n} AND before IS NOT NULL AND after IS NOT NULL""" for n in (1, 2, 3))
+
+#: Spikes by medians of windows, the scatter by a discrete quantile, stuck runs as islands.
+SPIKES = f"""WITH {READINGS}, pts AS (SELECT sensor, 'temperature' AS metric, et, reading_id, temperature AS v FROM usable WHERE temperature IS NOT NULL AND NOT isnan(temperature)
+ UNION ALL SELECT sensor, 'humidity', et, reading_id, humidity FROM usable WHERE humidity IS NOT NULL AND NOT isnan(humidity)),
+s AS (SELECT *, row_number() OVER (PARTITION BY sensor, metric ORDER BY et, reading_id, v) AS n FROM pts),
+lev AS (SELECT *, abs(coalesce(v - median(v) OVER (PARTITION BY sensor, metric ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE CURRENT ROW), 0)) AS off FROM s),
+sc AS (SELECT sensor, metric, coalesce(nullif(quantile_disc(off, 0.5), 0), quantile_disc(off, 0.5) FILTER (off > 0), 0) * {spikes.FROM_MEDIAN!r} AS scatter FROM lev GROUP BY ALL),
+groups AS ({_GROUPS}),
+far AS (SELECT sensor, metric, n + k AS n, max(d) AS d FROM groups, (SELECT unnest([0, 1, 2]) AS k) WHERE k < length GROUP BY ALL),
+runs AS (SELECT sensor, metric, n, count(*) OVER (PARTITION BY sensor, metric, v, i) AS run FROM (SELECT *, n - row_number() OVER (PARTITION BY sensor, metric, v ORDER BY n) AS i FROM s)),
+bad AS (SELECT s.reading_id FROM s JOIN sc USING (sensor, metric) JOIN runs USING (sensor, metric, n) LEFT JOIN far USING (sensor, metric, n)
+ WHERE run >= 12 OR d > greatest(7 * scatter, 1e-9) OR (metric = 'temperature' AND (v < -60 OR v > 85)) OR (metric = 'humidity' AND (v < 0 OR v > 100)))"""
+
+
+@R.add(sql=f"{SPIKES} SELECT DISTINCT reading_id FROM bad")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return spikes.implausible(table(spark, sf, "sensor_reading")).select("reading_id")
 

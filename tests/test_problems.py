@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakemill.operators import drift, grid, incremental, late, smallfiles, spikes
@@ -197,8 +199,8 @@ def test_flags_match_definition(spark):
     data = [reading(i, "sensor-1", T0 + 60 * i, float(x), None if i % 2 else 50.0 + (i % 14)) for i, x in enumerate(v)]
     data += [reading(1000, "sensor-1", T0 + 505 * 60 + 1, None), reading(1001, "sensor-1", T0 + 506 * 60 + 1, float("nan"), 101.0), reading(1002, "sensor-2", T0, 20.0), reading(1003, "sensor-1", T0, 99.0, got=T0 + 10**7)]
     df = spark.createDataFrame(data, READING)
-    for chunk in (20_000, 37):  # the cut into chunks changes nothing
-        got = spikes.flags(df, chunk_rows=chunk).toPandas()
+    for whole, chunk in ((100_000, 20_000), (0, 20_000), (0, 37)):  # the cut into chunks changes nothing
+        got = spikes.flags(df, chunk_rows=chunk, whole_rows=whole).toPandas()
         t = got[got.metric == "temperature"]
         sigma = spikes.statistics(spikes.features(spikes.series(df))).where("metric = 'temperature' AND sensor = 'sensor-0001'").first()["scatter"]
         assert 0.15 < sigma < 0.3
@@ -207,6 +209,9 @@ def test_flags_match_definition(spark):
         assert set(got[got.limit].reading_id) == {50, 1001}
         assert not {1000, 1003} & set(got[got.metric == "temperature"].reading_id)
         assert got.score.between(0, 1).all()
+        assert got[got.spike | got.stuck].by.notna().all() and (t.by == "forest").mean() < 0.15
+        bad = spikes.flags(df, chunk_rows=chunk, whole_rows=whole, only_bad=True)
+        assert rows(bad, "reading_id", "metric", "limit", "spike", "stuck") == rows(spikes.flags(df, chunk_rows=chunk, whole_rows=whole).where("limit OR spike OR stuck"), "reading_id", "metric", "limit", "spike", "stuck")
     assert spikes.implausible(df.limit(0)).count() == 0
 
 
@@ -220,12 +225,38 @@ def test_no_spike_is_lost_beside_extreme_values(spark, share):
     v[bad] = rng.choice([-9999.0, 5000.0, 850.0], bad.sum())
     df = spark.createDataFrame([reading(i, "sensor-1", T0 + 60 * i, float(x)) for i, x in enumerate(v)], READING)
     got = spikes.flags(df).where("metric = 'temperature'").toPandas()
+    caught = got[got.reading_id.isin(set(got[got.spike].reading_id))]
+    assert (caught.by == "forest").mean() >= 0.9  # the forest's own recall; the rule has the rest
     sigma = spikes.statistics(spikes.features(spikes.series(df))).where("metric = 'temperature'").first()["scatter"]
     want = brute_spikes(v, sigma)
     assert len(want - set(np.flatnonzero(bad))) > 40 and set(got[got.spike].reading_id) == want
     assert not got[got.reading_id.isin(want)].score.isna().any()
 
 
+def test_what_the_forest_misses_goes_to_the_exact_check(spark):
+    """With a threshold that no score reaches, the rule alone nominates, and no spike or stuck run is lost."""
+    rng = np.random.default_rng(6)
+    v = 20 + rng.normal(0, 0.2, 400)
+    v[100] += 4
+    v[200:203] -= 4
+    v[300:312] = 20.5
+    df = spark.createDataFrame([reading(i, "sensor-1", T0 + 60 * i, float(x)) for i, x in enumerate(v)], READING)
+    x = spikes.local(v)
+    scatter = spikes.scatter_of(x["level"])
+    got = spikes.verdicts(v, x, np.zeros(400), 2.0, scatter, (-60.0, 85.0), 7.0)
+    assert set(np.flatnonzero(got["spike"])) == brute_spikes(v, scatter) >= {100, 200, 201, 202} and set(np.flatnonzero(got["stuck"])) == set(range(300, 312))
+    assert {x for x in got["by"] if x} == {"rule"}
+    n = [spikes.flags(df, times=t).where("by = 'forest'").count() for t in (7.0, 14.0)]
+    assert 0 < n[0] < 60
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1.0, 2.0, 9.0, -7.0]), max_size=40))
+def test_reach_is_never_less_than_departure(v):
+    v = np.array(v)
+    assert (np.maximum(spikes.reach(v), 0) >= spikes.departure(v)).all()
+
+
 def test_forest_isolates_what_is_far():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(0, 1, (500, 3)), [[12, 12, 12]]]
