@@ -18,7 +18,7 @@ nb AS (SELECT a.*, CASE WHEN b.id < a.id THEN b.id END AS before, CASE WHEN c.id
 l AS (SELECT sensor, et, row_number() OVER (PARTITION BY sensor, et - rn ORDER BY et) AS k FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY et) AS rn FROM nb WHERE before IS NOT NULL)),
 r AS (SELECT sensor, et, row_number() OVER (PARTITION BY sensor, et + rn ORDER BY et DESC) AS k FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY et DESC) AS rn FROM nb WHERE after IS NOT NULL)),
 st AS (SELECT nb.sensor, nb.et, id, least(CASE WHEN l.k % 2 = 1 THEN before END, CASE WHEN r.k % 2 = 1 THEN after END) AS kept FROM nb LEFT JOIN l ON l.sensor = nb.sensor AND l.et = nb.et LEFT JOIN r ON r.sensor = nb.sensor AND r.et = nb.et),
-judged AS (SELECT u.reading_id, u.sensor, u.batch_id, CASE WHEN u.reading_id = st.id THEN kept ELSE coalesce(kept, st.id) END AS kept_id FROM usable u JOIN st ON st.sensor = u.sensor AND st.et = u.et)"""
+judged AS (SELECT u.reading_id, u.sensor, u.et, u.batch_id, CASE WHEN u.reading_id = st.id THEN kept ELSE coalesce(kept, st.id) END AS kept_id FROM usable u JOIN st ON st.sensor = u.sensor AND st.et = u.et)"""
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,17 +30,28 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).where("kept_id IS NOT NULL").select("kept_id", F.col("reading_id").alias("duplicate_id"))
 
 
+def _by_days(spark: SparkSession, sf: str) -> tuple[suffix.History, list[DataFrame]]:
+    """The batches through a stored index, one take a day of arrival, each reading and growing what the takes before it left."""
+    x = table(spark, sf, "sensor_reading").withColumn("batch_id", F.coalesce("batch_id", F.lit(0)))
+    came = x.where("reading_id IS NOT NULL").groupBy("batch_id").agg(F.min(F.to_date("received_at")).alias("day")).where("day IS NOT NULL").collect()  # as many as batches
+    history = suffix.History(spark, shared_path(spark, "p5-history"))
+    return history, [history.take(x.where(F.col("batch_id").isin([r["batch_id"] for r in came if r["day"] == day]))) for day in sorted({r["day"] for r in came})]
+
+
 @R.add(sql=f"{DECIDED} SELECT kept_id, reading_id AS duplicate_id FROM judged WHERE kept_id IS NOT NULL")
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The batches one after the other through the stored index, which each of them grows; their ids go up with ``reading_id``."""
-    x = table(spark, sf, "sensor_reading")
-    history, out = suffix.History(spark, shared_path(spark, "p5-history")), spark.createDataFrame([], "kept_id long, duplicate_id long")
-    for (b,) in x.where("reading_id IS NOT NULL").select(F.coalesce("batch_id", F.lit(0)).alias("b")).distinct().sort("b").collect():
-        batch = x.where((F.col("batch_id") == b) | F.col("batch_id").isNull() if b == 0 else F.col("batch_id") == b)
-        out = out.unionByName(history.accept(batch).where("kept_id IS NOT NULL").select("kept_id", F.col("reading_id").alias("duplicate_id")))
+    out = spark.createDataFrame([], "kept_id long, duplicate_id long")
+    for judged in _by_days(spark, sf)[1]:
+        out = out.unionByName(judged.where("kept_id IS NOT NULL").select("kept_id", F.col("reading_id").alias("duplicate_id")))
     return out
 
 
+@R.add(sql=f"{DECIDED} SELECT CAST(floor(et / 86400) AS BIGINT) AS day, count(*) AS records FROM judged WHERE kept_id IS NULL GROUP BY 1")
+def p5_index(spark: SparkSession, sf: str) -> DataFrame:
+    """How many accepted readings the index holds of each day: what a take that touches the day reads."""
+    return _by_days(spark, sf)[0].report().select("day", "records")
+
+
 @R.add(sql=f"{DECIDED} SELECT batch_id, count(*) AS n, CAST(count(kept_id) AS BIGINT) AS n_rejected FROM judged GROUP BY batch_id")
 def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count("kept_id").alias("n_rejected"))

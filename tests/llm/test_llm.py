@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakemill.llm import mix, pack, split, suffix
 from lakemill.llm.tokens import tokens
@@ -280,23 +282,58 @@ def test_coverage_counts_bytes_of_long_matches():
     assert got.tolist() == [10 / 17, 0.0, 0.0, 1.0]
 
 
-def test_history_grows_by_batches(spark):
+def test_history_grows_by_takes(spark):
     rng = random.Random(9)
-    points = [(i, rng.choice([1, 2]), T0 + rng.randrange(500)) for i in range(240)]
-    h = suffix.History(spark, shared_path(spark, "history"), shards=3)
+    points = [(i, rng.choice([1, 2]), T0 + 86_000 + rng.randrange(800)) for i in range(240)]  # over midnight
+    h = suffix.History(spark, shared_path(spark, "history"), shard_rows=30, segment_rows=50)
     got = []
     for b in range(5):
         part = [p for p in points if p[0] // 48 == b]
-        got += judged(h.accept(frame(spark, part)))
+        got += judged(h.take(frame(spark, part, lambda i: i // 20)))
     assert sorted(got, key=repr) == greedy(points)
     n, m = h.version()
-    assert n == 5 and m["levels"] == [2, 0]
-    assert h.check(frame(spark, points)).where("kept_id IS NULL").count() == 0
+    assert n == 5 and set(m["days"]) == {str((T0 + 86_000) // 86_400), str((T0 + 86_800) // 86_400)}
+    assert all([level for level, _ in parts] == sorted({level for level, _ in parts}, reverse=True) for parts in m["days"].values())
+    kept = len(points) - len(got)
+    assert h.report().agg(F.sum("records")).first()[0] == kept and h.segments().where("length(owners) > 8 * 50").count() == 0
+    assert h.take(frame(spark, points).limit(0)).count() == 0 and h.version()[0] == 5
+
+
+def test_a_take_reads_only_the_days_it_touches(spark):
+    h = suffix.History(spark, shared_path(spark, "history"))
+    for day in range(4):
+        h.take(frame(spark, [(day * 100 + i, 1, T0 + day * 86_400 + 10 * i + 5) for i in range(50)]))
+    day = T0 // 86_400 + 1
+    files = h.segments([day]).inputFiles()
+    assert files and all(f"of_day={day}/" in f for f in files) and h.segments([day]).count() == 1
+    late = frame(spark, [(900, 1, T0 + 86_400 + 6), (901, 1, T0 + 86_400 + 8)])
+    assert judged(h.take(late)) == [(100, 900)]
+
+
+def test_long_numbers_are_told_apart(spark):
+    """A sensor number of thirty digits: readings 500 seconds apart are no duplicates, whatever the depth of stored keys."""
+    number = "1" * 30
+    h = suffix.History(spark, shared_path(spark, "history"))
+    one = lambda i, n, t: frame(spark, [(i, n, t)])
+    assert judged(h.take(one(1, 7, T0))) == [] == judged(h.take(one(2, number, T0)))
+    assert judged(h.take(one(3, number, T0 + 500))) == [] and judged(h.take(one(4, number, T0 + 501))) == [(3, 4)]
+    assert judged(h.take(one(5, number + "2", T0 + 501))) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["sensor-0001", "sensor-12345"]), st.integers(-5, 5)), min_size=1, max_size=12, unique=True), st.integers(-1000, 10**10))
+def test_coverage_of_words_is_nearness(points, base):
+    sensors, seconds = [s for s, _ in points], np.array([base + t for _, t in points])
+    r = suffix.Records.of(pd.Series(sensors), seconds, np.arange(len(points)))
+    row, owner, _ = r.covered_by(r.segment())
+    near = {(i, j) for i in range(len(points)) for j in range(len(points)) if i != j and sensors[i] == sensors[j] and abs(seconds[i] - seconds[j]) <= 1}
+    assert set(zip(row.tolist(), owner.tolist(), strict=True)) == near
 
 
 def test_merging_keeps_few_levels():
     lv = suffix.Levels()
     for i in range(37):
-        lv.add(suffix.Segment.build([f"{i:04d};".encode()], np.array([i]), 8))
+        lv.add(suffix.Segment.build([f"{i:04d};".encode()], np.array([i]), 3 + i % 5))
     assert len(lv.segments) == bin(37).count("1")
-    assert lv.whole_records(np.array([b"0005;", b"0036;", b"005;", b"0099;"])).tolist() == [5, 36, -1, -1]
+    found = lambda needle: sorted(int(s.owners[np.searchsorted(s.starts, a, "right") - 1]) for s in lv.segments for a in s.occurrences(np.array([needle]))[1])
+    assert [found(n) for n in (b"0005;", b"0036;", b"0099;", b"003")] == [[5], [36], [], [3, 30, 31, 32, 33, 34, 35, 36]]
