@@ -1,7 +1,7 @@
 """Schemas that drift between the files of a feed: one catalogue of field lifespans, a log of changes, one table.
 
-A file's footer is its set of (field, type); files and fields are rows, so everything below is joins between a file and
-the one before it. A lifespan is a maximal run of files of a feed in which a field has one type.
+A file's footer is its set of (field, type); files and fields are rows. A lifespan is a maximal run of files of a feed in which
+a field has one type; what changes at a file is the lifespans that start there and those that ended at the file before.
 """
 
 from __future__ import annotations
@@ -41,56 +41,74 @@ def form_of(schema: Column) -> Column:
     )
 
 
+#: Bits of the forms a field's values have, and what they are together: long and double are double, any other mix is string.
+_BITS = {"boolean": 1, "long": 2, "double": 4, "string": 8}
+
+
+def _together(bits: Column) -> Column:
+    return F.when(bits == 0, F.lit(None)).when(bits == 1, "boolean").when(bits == 2, "long").when(bits.isin(4, 6), "double").otherwise("string")
+
+
 def footers(raw: DataFrame) -> DataFrame:
     """``feed, file_key, millis, field, type`` for each field of each file, from its whole payloads.
 
-    ``type`` is null if all values are null; long and double together are double, any other mix is string. A file
-    whose payloads are all broken has one row with a null ``field``. Rows without a data file's name are ignored.
+    ``type`` is null if all values are null; long and double together are double, any other mix is string. A file whose
+    payloads are all broken or empty has no row here (but see ``files_in_order``). Rows without a data file's name are ignored.
     """
     x = raw.select("file_key", prefix_of(F.col("file_key")).alias("feed"), millis_of(F.col("file_key")).alias("millis"), parse(F.col("payload")).alias("v")).where("feed IS NOT NULL")
-    each = x.lateralJoin(x.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("s")))
-    each = each.withColumn("form", F.when(F.col("field").isNotNull(), form_of(F.col("s"))))
-    forms = F.array_sort(F.collect_set("form"))
-    got = each.groupBy("feed", "file_key", "millis", "field").agg(forms.alias("forms"))
-    kind = F.when(F.size("forms") == 0, F.lit(None)).when(F.size("forms") == 1, F.col("forms")[0]).when(F.array_join("forms", ",") == "double,long", "double").otherwise("string")
-    got = got.select("feed", "file_key", "millis", "field", kind.alias("type"))
-    # a file with some fields needs no row without one
-    return got.where("field IS NOT NULL").unionByName(
-        got.groupBy("feed", "file_key", "millis").agg(F.max("field").alias("field"), F.lit(None).cast("string").alias("type")).where("field IS NULL")
-    )
+    each = x.lateralJoin(x.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("s")))
+    form = form_of(F.col("s"))
+    bit = F.coalesce(*[F.when(form == k, b) for k, b in _BITS.items()], F.lit(0))
+    got = each.groupBy("feed", "file_key", "millis", "field").agg(F.bit_or(bit).alias("bits"))
+    return got.select("feed", "file_key", "millis", "field", _together(F.col("bits")).alias("type"))
 
 
-def files_in_order(feet: DataFrame) -> DataFrame:
-    """Each file with its number in the feed (from 0) and the file before it; by ``millis``, then name."""
-    files = feet.select("feed", "file_key", "millis").distinct().withColumn("at", F.struct("millis", "file_key")).withColumn("one", F.lit(1).cast("long")).withColumn("day", F.floor(F.col("millis") / DAY_MS))
-    x = scan(files, ["feed"], "day", ["millis", "file_key"], [Scan("before", "at", "max", "before"), Scan("file_no", "one", "sum", "before")])
-    return x.select("feed", "file_key", "millis", F.col("before.file_key").alias("previous"), "file_no")
+def files_in_order(raw: DataFrame) -> DataFrame:
+    """Each file of ``raw`` (by name alone) with its number in the feed (from 0), by ``millis``, then name."""
+    named = raw.select("file_key").distinct().select(prefix_of(F.col("file_key")).alias("feed"), "file_key", millis_of(F.col("file_key")).alias("millis")).where("feed IS NOT NULL")
+    files = named.withColumn("one", F.lit(1).cast("long")).withColumn("day", F.floor(F.col("millis") / DAY_MS))
+    x = scan(files, ["feed"], "day", ["millis", "file_key"], [Scan("file_no", "one", "sum", "before")])
+    return x.select("feed", "file_key", "millis", "file_no")
 
 
-def edges(feet: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Starts and endings of (field, type) at each file but a feed's first: ``kept`` rows are left out.
+def lifespans(feet: DataFrame, files: DataFrame) -> DataFrame:
+    """``feed, field, type, first_file, last_file, n_files``: runs of successive files in which a field has one type.
 
-    ``feed, file_key, file_no, field, old_type, new_type, was, is``: ``was``/``is`` say whether the file before and this
-    one have the field. The lag is an equi-join on (file, field), so no feed is gathered.
+    The lag is an equi-join on (feed, field, type, file number), so no feed is gathered, and the islands are made of the starts
+    and endings only: a field that is always there costs two rows. A type of nulls only is ``unknown``.
     """
-    files = files if files is not None else files_in_order(feet)
-    has = feet.where("field IS NOT NULL").select("file_key", "field", "type")
-    step = files.where("previous IS NOT NULL").select("feed", "file_key", "file_no", "previous")
-    new = step.join(has, "file_key").select("feed", "file_key", "file_no", "field", F.col("type").alias("new_type"), F.lit(None).cast("string").alias("old_type"), F.lit(1).alias("is"), F.lit(0).alias("was"))
-    old = step.join(has.withColumnRenamed("file_key", "previous"), "previous").select("feed", "file_key", "file_no", "field", F.lit(None).cast("string").alias("new_type"), F.col("type").alias("old_type"), F.lit(0).alias("is"), F.lit(1).alias("was"))
-    both = new.unionByName(old).groupBy("feed", "file_key", "file_no", "field").agg(F.max("old_type").alias("old_type"), F.max("new_type").alias("new_type"), F.max("was").alias("was"), F.max("is").alias("is"))
-    return both.where("was <> is OR (old_type <> new_type)")
+    at = feet.select("feed", "file_key", "field", F.coalesce("type", F.lit("unknown")).alias("type")).join(files.select("file_key", "file_no"), "file_key").select("feed", "field", "type", "file_no")
+    here = lambda by, mine, prev, next_: F.struct((F.col("file_no") + by).alias("no"), F.lit(mine).alias("own"), F.lit(prev).alias("prev"), F.lit(next_).alias("next"))
+    near = at.select("feed", "field", "type", F.explode(F.array(here(0, 1, 0, 0), here(1, 0, 1, 0), here(-1, 0, 0, 1))).alias("x"))
+    flags = near.groupBy("feed", "field", "type", F.col("x.no").alias("no")).agg(F.max("x.own").alias("own"), F.max("x.prev").alias("prev"), F.max("x.next").alias("next")).where("own = 1 AND (prev = 0 OR next = 0)")
+    w = Window.partitionBy("feed", "field", "type").orderBy("no")
+    ends = flags.withColumn("end", F.when(F.col("next") == 0, F.col("no")).otherwise(F.lead("no").over(w))).where("prev = 0")
+    return ends.select("feed", "field", "type", F.col("no").alias("first_file"), F.col("end").alias("last_file"), (F.col("end") - F.col("no") + 1).alias("n_files"))
+
 
+def edges(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """The log of starts and endings of lifespans at each file but a feed's first: ``feed, file_key, field, old_type, new_type, was, is``.
 
-def changes(feet: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``feed, file_key, column_name, change`` (added, dropped, renamed, retyped), ``old_name, old_type, new_type``.
+    ``was``/``is`` say whether the file before and this one have the field. A span that starts where another of its field ends
+    changes the type, which counts where both types are known.
+    """
+    starts = spans.where("first_file > 0").select("feed", "field", F.col("first_file").alias("file_no"), F.lit(None).cast("string").alias("old_type"), F.col("type").alias("new_type"))
+    endings = spans.select("feed", "field", (F.col("last_file") + 1).alias("file_no"), F.col("type").alias("old_type"), F.lit(None).cast("string").alias("new_type"))
+    both = starts.unionByName(endings).groupBy("feed", "field", "file_no").agg(F.max("old_type").alias("old_type"), F.max("new_type").alias("new_type"))
+    # an ending at a feed's last file has no file after it
+    both = both.join(files.select("feed", "file_no", "file_key"), ["feed", "file_no"]).withColumn("was", F.col("old_type").isNotNull().cast("int")).withColumn("is", F.col("new_type").isNotNull().cast("int"))
+    return both.where("was <> is OR (old_type <> 'unknown' AND new_type <> 'unknown')").select("feed", "file_key", "field", F.nullif("old_type", F.lit("unknown")).alias("old_type"), F.nullif("new_type", F.lit("unknown")).alias("new_type"), "was", "is")
+
+
+def changes(spans: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``feed, file_key, column_name, change`` (added, dropped, renamed, retyped), ``old_name, old_type, new_type``, from ``lifespans``.
 
     A field that comes while one of the same canonical name leaves is ``renamed`` (both in order of name if several
     do) and neither is added or dropped. A type of nulls only is unknown and never makes ``retyped``. ``aliases``:
     ``canonical_name, column_name``, case-sensitive; a name listed twice takes its least canonical name.
     """
     known = aliases.where("column_name IS NOT NULL").groupBy("column_name").agg(F.min("canonical_name").alias("canonical"))
-    e = edges(feet).join(known.withColumnRenamed("column_name", "field"), "field", "left").withColumn("canonical", F.coalesce("canonical", "field"))
+    e = edges(spans, files).join(known.withColumnRenamed("column_name", "field"), "field", "left").withColumn("canonical", F.coalesce("canonical", "field"))
     retyped = e.where("was = 1 AND is = 1").select("feed", "file_key", F.col("field").alias("column_name"), F.lit("retyped").alias("change"), F.lit(None).cast("string").alias("old_name"), "old_type", "new_type")
     moved = e.where("was <> is")
     by = Window.partitionBy("file_key", "canonical", "is").orderBy("field")  # at most the aliases of one field
@@ -102,29 +120,23 @@ def changes(feet: DataFrame, aliases: DataFrame) -> DataFrame:
     return paired.unionByName(retyped)
 
 
-def lifespans(feet: DataFrame) -> DataFrame:
-    """``feed, field, type, first_file, last_file, n_files``: runs of successive files in which a field has one type.
-
-    Islands over the starts and endings only; a field that is always there costs two rows.
-    """
-    files = files_in_order(feet)
-    has = feet.where("field IS NOT NULL").select("feed", "file_key", "field", F.coalesce("type", F.lit("unknown")).alias("type"))
-    at = has.join(files.select("file_key", "file_no"), "file_key").select("feed", "field", "type", "file_no")
-    near = at.select("feed", "field", "type", F.explode(F.array(F.struct(F.col("file_no").alias("no"), F.lit(1).alias("own"), F.lit(0).alias("prev"), F.lit(0).alias("next")), F.struct((F.col("file_no") + 1).alias("no"), F.lit(0).alias("own"), F.lit(1).alias("prev"), F.lit(0).alias("next")), F.struct((F.col("file_no") - 1).alias("no"), F.lit(0).alias("own"), F.lit(0).alias("prev"), F.lit(1).alias("next")))).alias("x"))
-    flags = near.groupBy("feed", "field", "type", F.col("x.no").alias("no")).agg(F.max("x.own").alias("own"), F.max("x.prev").alias("prev"), F.max("x.next").alias("next")).where("own = 1 AND (prev = 0 OR next = 0)")
-    w = Window.partitionBy("feed", "field", "type").orderBy("no")
-    ends = flags.withColumn("end", F.when(F.col("next") == 0, F.col("no")).otherwise(F.lead("no").over(w))).where("prev = 0")
-    return ends.select("feed", "field", "type", F.col("no").alias("first_file"), F.col("end").alias("last_file"), (F.col("end") - F.col("no") + 1).alias("n_files"))
+#: As many columns as a table may get by an alias table.
+MOST_NAMES = 10_000
 
 
-#: The order in which a consistent table widens a field: a mix of kinds is a string, long and double are double.
 def casts(feet: DataFrame, aliases: DataFrame) -> dict[str, tuple[str, list[str]]]:
-    """canonical name -> (type, its column names), for the fields of ``aliases``: small by definition."""
-    known = aliases.where("column_name IS NOT NULL AND canonical_name IS NOT NULL")
+    """canonical name -> (type, its column names), for the fields of ``aliases``.
+
+    The rule becomes a column each, so more than ``MOST_NAMES`` names are an error.
+    """
+    known = aliases.where("column_name IS NOT NULL AND canonical_name IS NOT NULL").distinct()
+    listed = known.limit(MOST_NAMES + 1).collect()
+    if len(listed) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names in the alias table")
     forms = feet.join(known, feet["field"] == known["column_name"]).where("type IS NOT NULL").groupBy("canonical_name").agg(F.array_sort(F.collect_set("type")).alias("t"))
     seen = {r["canonical_name"]: r["t"] for r in forms.collect()}
     names: dict[str, list[str]] = {}
-    for r in sorted(known.collect(), key=lambda r: (r["canonical_name"], r["column_name"] != r["canonical_name"], r["column_name"])):
+    for r in sorted(listed, key=lambda r: (r["canonical_name"], r["column_name"] != r["canonical_name"], r["column_name"])):
         names.setdefault(r["canonical_name"], []).append(r["column_name"])
     kind = lambda t: "string" if not t else t[0] if len(t) == 1 else "double" if t == ["double", "long"] else "string"
     return {c: ({"long": "bigint"}.get(k := kind(seen.get(c)), k), cols) for c, cols in names.items()}

@@ -22,19 +22,21 @@ class Conflict(RuntimeError):
     """Another run published this version first."""
 
 
-def pending(source: DataFrame, done: DataFrame, key: list[str], version: str) -> DataFrame:
+def pending(source: DataFrame, done: DataFrame, key: list[str], version: str, scope: list[str] | None = None) -> DataFrame:
     """Source rows whose key has no row in ``done`` with this version or a later one.
 
-    Null keys and versions compare as values (a null version is older than any). Repeated source rows give one row:
+    ``scope``: the part of the key by which versions count. In a log that is read in order, a row that is done stands for all
+    rows of its scope up to its version. Null keys and versions compare as values (a null version is older than any). Repeated source rows give one row:
     that of the newest version, of equals any. Columns of ``done`` other than key and version are ignored.
     """
-    newest = done.groupBy(*key).agg(F.max(version).alias("__v"), F.max(F.col(version).isNull()).alias("__n"))
-    newest = newest.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(key)], "__v", "__n")
+    scope = scope or key
+    newest = done.groupBy(*scope).agg(F.max(version).alias("__v"), F.max(F.col(version).isNull()).alias("__n"))
+    newest = newest.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(scope)], "__v", "__n")
     rows = source.groupBy(*key).agg(F.max(F.struct(F.col(version), F.struct(*[c for c in source.columns if c not in (*key, version)]) if set(source.columns) - {*key, version} else F.lit(0))).alias("__r"))
     rest = [c for c in source.columns if c not in (*key, version)]
     rows = rows.select(*key, F.col(f"__r.{version}").alias(version), *[F.col(f"__r.col2.{c}").alias(c) for c in rest]).select(*source.columns)
     on = F.lit(True)
-    for i, k in enumerate(key):
+    for i, k in enumerate(scope):
         on = on & rows[k].eqNullSafe(newest[f"__{i}"])
     later = F.coalesce(newest["__v"] >= rows[version], rows[version].isNull() & (newest["__n"] | newest["__v"].isNotNull()), F.lit(False))
     return rows.join(newest, on & later, "left_anti")
@@ -42,7 +44,7 @@ def pending(source: DataFrame, done: DataFrame, key: list[str], version: str) ->
 
 @dataclass
 class Target:
-    """A versioned table in a folder: ``versions/N.json`` lists the data folders that make up version N.
+    """A versioned table in a folder: ``versions/N.json`` lists the data folders that make up version N. ``scope``: see ``pending``.
 
     What else the file names (see ``run``) is part of the version and passes on to the next one.
     """
@@ -51,6 +53,7 @@ class Target:
     path: str
     key: list[str]
     version: str
+    scope: list[str] | None = None
 
     def __post_init__(self) -> None:
         self.storage = Storage(self.spark)
@@ -111,7 +114,7 @@ class Target:
             every = known[0]
             for x in known[1:]:
                 every = every.unionByName(x)
-            fresh = pending(source, every, self.key, self.version)
+            fresh = pending(source, every, self.key, self.version, self.scope)
         else:
             fresh = pending(source, source.select(*cols).limit(0), self.key, self.version)
         part = f"{n + 1}-{self.storage.unique()}"
@@ -125,7 +128,7 @@ class Target:
 def main_line(snapshots: DataFrame) -> DataFrame:
     """Snapshots on each table's main line: the head of branch ``main`` and its chain of parents in the log.
 
-    Ancestry is found by pointer doubling over (table, snapshot), so a long chain takes a logarithmic number of joins
+    Ancestry is found by jumps of growing length over (table, snapshot), so a long chain takes a logarithmic number of joins
     and no table is gathered in one task. Ids are looked up within their table; repeated rows count once; a parent that
     isn't in the log ends the chain, as does a cycle. Of heads with equal ``sequence_number`` the larger id counts.
     """
@@ -134,30 +137,51 @@ def main_line(snapshots: DataFrame) -> DataFrame:
     log = cut(log)
     heads = log.where("branch = 'main'").groupBy("table_name").agg(F.max(F.struct("sequence_number", "snapshot_id")).alias("h")).select("table_name", F.col("h.snapshot_id").alias("snapshot_id"))
     here = log.select("table_name", F.col("snapshot_id").alias("jump"))
-    jumps = log.select("table_name", "snapshot_id", F.col("parent_snapshot_id").alias("jump")).join(here, ["table_name", "jump"], "left_semi")
-    reached = heads.withColumn("on", F.lit(True))
-    size = heads.count()
+    jumps = cut(log.select("table_name", "snapshot_id", F.col("parent_snapshot_id").alias("jump")).join(here, ["table_name", "jump"], "left_semi"))
+    reached, size = cut(heads), heads.count()
     while size:
-        jumps = cut(jumps)
-        step = reached.join(jumps, ["table_name", "snapshot_id"]).select("table_name", F.col("jump").alias("snapshot_id"))
-        reached = cut(reached.select("table_name", "snapshot_id").unionByName(step).distinct())
+        onward = jumps.select("table_name", F.col("snapshot_id").alias("jump"), F.col("jump").alias("next"))
+        step, far, every = reached, jumps, reached
+        for _ in range(RADIX - 1):  # from all that is reached up to three jumps on, and jumps of four times the length
+            step = step.join(jumps, ["table_name", "snapshot_id"]).select("table_name", F.col("jump").alias("snapshot_id"))
+            far = far.join(onward, ["table_name", "jump"]).select("table_name", "snapshot_id", F.col("next").alias("jump"))
+            every = every.unionByName(step)
+        reached = cut(every.distinct())
         size, before = reached.count(), size
         if size == before:
             break
-        onward = jumps.select("table_name", F.col("snapshot_id").alias("jump"), F.col("jump").alias("next"))
-        jumps = jumps.join(onward, ["table_name", "jump"]).select("table_name", "snapshot_id", F.col("next").alias("jump"))
-    return log.join(reached.select("table_name", "snapshot_id"), ["table_name", "snapshot_id"], "left_semi")
+        jumps = cut(far)
+    return log.join(reached, ["table_name", "snapshot_id"], "left_semi")
 
 
-def unread_snapshots(snapshots: DataFrame, states: DataFrame) -> DataFrame:
-    """(process, table, snapshot, sequence number) of what each poller has still to read.
+#: How much longer jumps along the chain of parents get from round to round.
+RADIX = 4
+#: Into how many parts a table's snapshots are dealt where each meets the table's pollers.
+SALTS = 16
+
+
+def snapshot_work(snapshots: DataFrame, states: DataFrame) -> DataFrame:
+    """``process_name, table_name, snapshot_id, sequence_number``: what each poller reads in all, the main line without ``replace``.
+
+    ``replace`` snapshots bring no new rows. A table's snapshots are dealt to ``SALTS`` parts, each of which meets all its pollers.
+    """
+    line = main_line(snapshots).where("operation IS NULL OR operation <> 'replace'").select("table_name", "snapshot_id", "sequence_number", F.pmod(F.xxhash64("snapshot_id"), F.lit(SALTS)).alias("__salt"))
+    pollers = states.where("process_name IS NOT NULL AND table_name IS NOT NULL").select("process_name", "table_name").distinct()
+    pollers = pollers.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return line.join(pollers, ["table_name", "__salt"]).select("process_name", "table_name", "snapshot_id", "sequence_number")
+
+
+def acked(snapshots: DataFrame, states: DataFrame) -> DataFrame:
+    """What each poller has done, as rows of ``snapshot_work``: its ``acked`` row of newest ``recorded_at`` (of equals the larger id).
 
-    Only the ``acked`` row of newest ``recorded_at`` counts (of equals the larger id); if nothing was acked or that
-    snapshot isn't in the log, the whole main line is unread. ``replace`` snapshots bring no new rows.
+    No row if nothing was acked or that snapshot isn't in the log: then the whole main line is unread.
     """
-    line = main_line(snapshots).where("operation IS NULL OR operation <> 'replace'")
-    acked = F.when(F.col("outcome") == "acked", F.struct("recorded_at", "last_snapshot_id"))
-    pollers = states.where("process_name IS NOT NULL AND table_name IS NOT NULL").groupBy("process_name", "table_name").agg(F.max(acked).alias("a")).select("process_name", "table_name", F.col("a.last_snapshot_id").alias("acked_id"))
-    at = snapshots.groupBy("table_name", F.col("snapshot_id").alias("acked_id")).agg(F.max("sequence_number").alias("acked_seq"))
-    pollers = pollers.join(at, ["table_name", "acked_id"], "left").select("process_name", "table_name", "acked_seq")
-    return line.join(pollers, "table_name").where("acked_seq IS NULL OR sequence_number > acked_seq").select("process_name", "table_name", "snapshot_id", "sequence_number")
+    got = F.when(F.col("outcome") == "acked", F.struct("recorded_at", "last_snapshot_id"))
+    last = states.where("process_name IS NOT NULL AND table_name IS NOT NULL").groupBy("process_name", "table_name").agg(F.max(got).alias("a")).select("process_name", "table_name", F.col("a.last_snapshot_id").alias("snapshot_id"))
+    at = snapshots.where("sequence_number IS NOT NULL").groupBy("table_name", "snapshot_id").agg(F.max("sequence_number").alias("sequence_number"))
+    return last.join(at, ["table_name", "snapshot_id"]).select("process_name", "table_name", "snapshot_id", "sequence_number")
+
+
+def unread_snapshots(snapshots: DataFrame, states: DataFrame) -> DataFrame:
+    """(process, table, snapshot, sequence number) of what each poller has still to read (see ``snapshot_work`` and ``acked``)."""
+    return pending(snapshot_work(snapshots, states), acked(snapshots, states), ["process_name", "table_name", "snapshot_id"], "sequence_number", ["process_name", "table_name"])

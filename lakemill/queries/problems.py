@@ -42,7 +42,8 @@ cand AS (SELECT * FROM small QUALIFY count(*) OVER (PARTITION BY prefix, day) >=
 @R.add(sql=f"""{NUMBERS}, {GRID} SELECT sensor AS sensor_id, p * 900 AS period_start FROM g
 WHERE NOT EXISTS (SELECT 1 FROM num n WHERE n.sensor = g.sensor AND n.et // 900 = g.p)""")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _grid(spark, sf).where("n_readings = 0").select("sensor_id", "period_start")
+    # a gap is filled where the regression has support enough and marked where it hasn't: one or the other, never neither
+    return _grid(spark, sf).where("n_readings = 0 AND (value IS NOT NULL) = (effective_support >= 2.0)").select("sensor_id", "period_start")
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,13 +91,16 @@ WINDOWS_SQL = R.sql["p2_windows"]
 
 @R.add(sql=WINDOWS_SQL)
 def p2_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The windows after the history came as four batches in order of arrival, each through the published state."""
-    events = cut(late.arrivals(table(spark, sf, "files_processed"), table(spark, sf, "file_meta")))
-    state = LateEvents(spark, shared_path(spark, "p2-state"))
-    low, high = events.agg(F.min("arrived_us"), F.max("arrived_us")).first()
+    """The windows after raw records came in four batches in order of arrival, each to a stream that starts where the last stopped."""
+    raw, inbox = table(spark, sf, "files_processed"), shared_path(spark, "p2-inbox")
+    state = LateEvents(spark, shared_path(spark, "p2-state"), listing=cut(table(spark, sf, "file_meta")))
+    at = F.unix_micros(F.col("processed_at").cast("timestamp"))
+    low, high = raw.agg(F.min(at), F.max(at)).first()
     step = ((high or 0) - (low or 0)) // 4 + 1
+    turn, progress = F.coalesce(F.floor((at - (low or 0)) / step), F.lit(0)), shared_path(spark, "p2-progress")
     for i in range(4):
-        state.take(events.where(F.floor((F.col("arrived_us") - (low or 0)) / step) == i), i)
+        raw.where(turn == i).write.mode("append").parquet(inbox)
+        state.start(spark.readStream.schema(raw.schema).parquet(inbox), progress).awaitTermination()
     return state.windows().select("process_name", "prefix", "window_start", "n_files", "bytes")
 
 
@@ -166,10 +170,15 @@ def _finished(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(sql=f"WITH RECURSIVE {FILE_WORK}, {SNAPSHOTS} SELECT process_name, item FROM file_work UNION ALL SELECT process_name, CAST(snapshot_id AS VARCHAR) AS item FROM unread")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    target = incremental.Target(spark, shared_path(spark, "p4-files"), ["process_name", "item"], "version")
-    files = target.run(_file_source(spark, sf), done=_finished(spark, sf)).select("process_name", "item")
-    snapshots = incremental.unread_snapshots(table(spark, sf, "snapshot_log"), table(spark, sf, "poller_state"))
-    return files.unionByName(snapshots.select("process_name", F.col("snapshot_id").cast("string").alias("item")))
+    """Two targets that hold, as key and version of each row, what was finished so far, and a run of each."""
+    files = incremental.Target(spark, shared_path(spark, "p4-files"), ["process_name", "item"], "version")
+    files.replace(_finished(spark, sf))
+    log, states = table(spark, sf, "snapshot_log"), table(spark, sf, "poller_state")
+    scope = ["process_name", "table_name"]
+    snapshots = incremental.Target(spark, shared_path(spark, "p4-snapshots"), [*scope, "snapshot_id"], "sequence_number", scope)
+    snapshots.replace(incremental.acked(log, states))
+    new = snapshots.run(incremental.snapshot_work(log, states)).select("process_name", F.col("snapshot_id").cast("string").alias("item"))
+    return files.run(_file_source(spark, sf)).select("process_name", "item").unionByName(new)
 
 
 @R.add(sql=f"""WITH {FILE_WORK}, later AS (SELECT *, CASE WHEN epoch_us(last_modified) // 3600000000 % 2 = 0 THEN 1 ELSE 2 END AS run FROM file_work JOIN data d ON d.key = item)
@@ -242,18 +251,24 @@ found AS (SELECT file_key, new AS column_name, 'renamed' AS change FROM rn
 
 
 def _feet(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(drift.footers(table(spark, sf, "raw_record")))
+    return drift.footers(table(spark, sf, "raw_record"))
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    files = cut(drift.files_in_order(table(spark, sf, "raw_record")))
+    spans = cut(drift.lifespans(_feet(spark, sf), files))
+    return drift.changes(spans, files, table(spark, sf, "column_alias")).select("file_key", "column_name", "change")
 
 
 @R.add(sql=f"WITH {FIELDS} SELECT file_key, column_name, change FROM found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(_feet(spark, sf), table(spark, sf, "column_alias")).select("file_key", "column_name", "change")
+    return _changes(spark, sf)
 
 
 @R.add(sql=f"""WITH {FIELDS}, isl AS (SELECT feed, field, coalesce(t, 'unknown') AS type, no, no - row_number() OVER (PARTITION BY feed, field, coalesce(t, 'unknown') ORDER BY no) AS i FROM feet)
 SELECT feed, field, type, min(no) - 1 AS first_file, max(no) - 1 AS last_file, count(*) AS n_files FROM isl GROUP BY feed, field, type, i""")
 def p7_lifespans(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.lifespans(_feet(spark, sf))
+    return drift.lifespans(_feet(spark, sf), drift.files_in_order(table(spark, sf, "raw_record")))
 
 
 @R.add()
@@ -267,7 +282,7 @@ seen AS (SELECT DISTINCT file_key, column_name, change FROM found)
 SELECT change, count(*) AS n, CAST(sum(CASE WHEN l.file_key IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS not_logged FROM seen s LEFT JOIN logged l USING (file_key, column_name, change) GROUP BY change""")
 def p7_unlogged(spark: SparkSession, sf: str) -> DataFrame:
     """What the present program's log lacks, by kind of change."""
-    found = drift.changes(_feet(spark, sf), table(spark, sf, "column_alias")).select("file_key", "column_name", "change").distinct()
+    found = _changes(spark, sf).distinct()
     log = table(spark, sf, "schema_reconciliation")
     one = lambda c, kind: log.select("file_key", F.explode(c).alias("column_name"), F.lit(kind).alias("change"))
     logged = one("columns_added", "added").unionByName(one("columns_dropped", "dropped")).distinct().withColumn("in_log", F.lit(1))

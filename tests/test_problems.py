@@ -165,6 +165,27 @@ def test_batches_through_state_equal_one_batch(spark):
     assert rows(state.late(), "process_name", "file_name") == brute_late(events)
 
 
+def test_a_record_that_comes_again_counts_once(spark):
+    """Batches of raw records in which records of earlier batches come again, and more of them than parts are kept apart."""
+    rng, d = random.Random(5), datetime(2024, 1, 1)
+    data = [("p", f"a.{1_704_067_200_000 + 60_000 * i}.parquet", "a", d, d + timedelta(minutes=i + rng.randrange(5))) for i in range(200)]
+    data += [(p, f, t, x, done + timedelta(minutes=rng.randrange(1, 100))) for p, f, t, x, done in data[::2]]
+    raw = spark.createDataFrame(data, "process_name string, file_name string, file_type string, file_timestamp timestamp_ntz, processed_at timestamp_ntz")
+    state = LateEvents(spark, shared_path(spark, "late"))
+    for i in range(10):
+        state.take_raw(raw.where(f"processed_at >= timestamp_ntz '2024-01-01' + interval {30 * i} minutes AND processed_at < timestamp_ntz '2024-01-01' + interval {30 * i + 30} minutes"), i)
+    whole = late.advance(late.arrivals(raw))
+    assert rows(state.windows(), "window_start", "n_files") == rows(whole.upserts, "window_start", "n_files")
+    assert state.windows().agg(F.sum("n_files")).first()[0] == 200
+    n, now = state._state()
+    assert n == 9 and len(state._versions()) == 3 and max(map(len, [now["late"], *now["seen"].values()])) <= 8
+    state.storage.create(f"{state.path}/versions/10.json", "{}")
+    real, state._state = state._state, lambda: (n, now)
+    with pytest.raises(incremental.Conflict):
+        state.take_raw(raw.limit(1), 10)
+    state._state = real
+
+
 def test_arrivals_take_first_finish_and_skip_unfinished(spark):
     d = datetime(2024, 1, 1)
     data = [("p", "a.1000.parquet", "a", None, None), ("p", "a.2000.parquet", "a", d, d + timedelta(hours=2)), ("p", "a.2000.parquet", None, d, d), ("p", "notes.txt", "a", d, d), (None, "a.3000.parquet", "a", d, d), ("p", "x/a.4000.c.parquet", None, None, d)]
@@ -327,6 +348,8 @@ def test_main_line_and_unread(spark):
     assert [x for x in got if x[0] == "p"] == [("p", 30), ("p", 32), ("p", 40)]
     assert [x[1] for x in got if x[0] == "q"] == [x[1] for x in got if x[0] == "r"] == [10, 11, 12, 30, 32, 40]
     assert incremental.main_line(df.limit(0)).count() == 0
+    line = spark.createDataFrame([("v", i, i - 1 if i else None, i, None, "append", "main") for i in range(90)], df.schema)
+    assert incremental.main_line(line).count() == 90
 
 
 # -- small files
@@ -449,22 +472,23 @@ def test_changes_between_files(spark):
     ]
     raw = spark.createDataFrame(data, "record_id long, file_key string, payload string")
     alias = spark.createDataFrame([("b", "b"), ("b", "bee"), ("B", "BEE")], "canonical_name string, column_name string")
-    feet = drift.footers(raw)
-    got = rows(drift.changes(feet, alias), "file_key", "column_name", "change")
+    feet, files = drift.footers(raw), drift.files_in_order(raw)
+    got = rows(drift.changes(drift.lifespans(feet, files), files, alias), "file_key", "column_name", "change")
     assert got == sorted([
         (f(2000), "bee", "renamed"), (f(2000), "t", "retyped"), (f(10000), "bee", "retyped"), (f(10000), "n", "dropped"),
         (f(20000), "a", "dropped"), (f(20000), "bee", "dropped"), (f(20000), "t", "dropped"), (f(30000), "a", "added"),
     ], key=repr)
     types = {(r["file_key"], r["field"]): r["type"] for r in feet.collect()}
     assert types[f(1000), "a"] == "double" and types[f(2000), "a"] == "double" and types[f(1000), "n"] is None and types[f(10000), "t"] == "string"
-    lives = rows(drift.lifespans(feet).where("feed = 'feed' AND field = 'a'"), "type", "first_file", "last_file")
+    lives = rows(drift.lifespans(feet, files).where("feed = 'feed' AND field = 'a'"), "type", "first_file", "last_file")
     assert lives == [("double", 0, 1), ("long", 4, 4), ("unknown", 2, 2)]
     rule = drift.casts(feet, alias)
     assert rule["b"] == ("string", ["b", "bee"])
     whole = {r["record_id"]: r for r in drift.consistent(raw, rule).collect()}
     assert len(whole) == 16 and whole[1]["b"] == "x" and whole[10]["b"] == "true" and not whole[3]["whole"] and whole[6]["b"] is None
     assert whole[16]["other"] == '{"a":"1"}'
-    assert drift.changes(drift.footers(raw.limit(0)), alias).count() == 0
+    none = drift.files_in_order(raw.limit(0))
+    assert drift.changes(drift.lifespans(drift.footers(raw.limit(0)), none), none, alias).count() == 0
 
 
 def test_types_by_json_form(spark):
