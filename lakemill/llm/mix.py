@@ -8,11 +8,12 @@ the shards, each shard takes its count from the permuted blocks of each source,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakemill.llm.pack import sized
@@ -56,26 +57,54 @@ def quotas(targets: list[tuple[str, float, int]], available: dict[str, int]) ->
     return out
 
 
-def splitting_tree(blocks: np.ndarray, shards: int, seed: int = 7) -> np.ndarray:
-    """Blocks of each source for each shard: rows are shards, columns sources; columns add up to ``blocks`` exactly.
+def split_nodes(blocks: np.ndarray, first: int, end: int, seed: int, stop: int = 1) -> list[tuple[int, int, np.ndarray]]:
+    """The nodes of the splitting tree below (first, end) of at most ``stop`` shards, in order: (first, end, blocks of each source).
 
-    Each node halves its shards and draws the left half's blocks without replacement from its own.
+    Each node halves its shards and draws the left half's blocks without replacement from its own, by a seed of its own: a
+    subtree comes out the same wherever it is grown.
     """
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(blocks)), dtype=np.int64)
-    todo = [(0, shards, blocks.astype(np.int64))]
+    out, todo = [], [(first, end, blocks.astype(np.int64))]
     while todo:
         a, b, have = todo.pop()
-        if b - a == 1:
-            out[a] = have
+        if b - a <= stop:
+            out.append((a, b, have))
             continue
         m = (a + b) // 2
         n = int(have.sum()) * (m - a) // (b - a)
-        left = rng.multivariate_hypergeometric(have, n, method="marginals") if n else np.zeros_like(have)
-        todo += [(a, m, left), (m, b, have - left)]
+        left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(have, n, method="marginals") if n else np.zeros_like(have)
+        todo += [(m, b, have - left), (a, m, left)]
     return out
 
 
+def splitting_tree(blocks: np.ndarray, shards: int, seed: int = 7) -> np.ndarray:
+    """Blocks of each source for each shard: rows are shards, columns sources; columns add up to ``blocks`` exactly."""
+    return np.array([have for *_, have in split_nodes(blocks, 0, shards, seed)])
+
+
+#: The driver grows the tree down to at most about so many nodes; tasks grow what lies below each.
+DRIVER_NODES = 4096
+
+
+def deal(spark: SparkSession, names: list[str], blocks: np.ndarray, shards: int, seed: int) -> DataFrame:
+    """``source, shard, place``: each drawn block of a source, by its place among them, and the shard it goes to."""
+    top = split_nodes(blocks, 0, shards, seed, max(1, math.ceil(shards / DRIVER_NODES)))
+    before = np.cumsum([have for *_, have in top], axis=0) - [have for *_, have in top]
+    nodes = spark.createDataFrame([(a, b, have.tolist(), first.tolist()) for (a, b, have), first in zip(top, before, strict=True)], "a long, b long, have array<long>, first array<long>")
+
+    def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a, b, have, first in zip(f["a"], f["b"], f["have"], f["first"], strict=True):
+                at, out = np.array(first, dtype=np.int64), []
+                for shard, _, n in split_nodes(np.array(have, dtype=np.int64), a, b, seed):
+                    some = np.flatnonzero(n)
+                    out.append(pd.DataFrame({"source": [names[i] for i in some], "shard": shard, "first": at[some], "end": (at + n)[some]}))
+                    at = at + n
+                yield pd.concat(out, ignore_index=True)
+
+    runs = nodes.repartition(max(1, len(top) // 256)).mapInPandas(below, "source string, shard long, first long, end long")
+    return runs.select("source", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("place"))
+
+
 _USE = "doc_id long, source string, repeat long, order long, tokens long, shard long"
 _USE_COLUMNS = ["doc_id", "source", "repeat", "order", "tokens", "shard"]
 
@@ -93,7 +122,8 @@ def _fit(block: pd.DataFrame) -> pd.DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = 1 << 16, shard_tokens: int = 1 << 22, seed: int = 7, most_sources: int = 100_000) -> tuple[DataFrame, list[Quota]]:
     """The mixture: ``shard, position, doc_id, source, repeat, tokens``, and the quotas it follows.
 
-    ``targets`` (``source, weight, max_repeats``) is held by the driver and may have at most ``most_sources`` rows. Documents
+    ``targets`` (``source, weight, max_repeats``) is held by the driver and may have at most ``most_sources`` rows; more are an
+    error. The driver also holds the top of the tree, at most about 4,096 nodes of one number per source; the rest is grown in tasks. Documents
     without a target are not used; null and empty texts have no size and come along with their block. No document is used
     more than ``max_repeats`` times; each further use is one whole pass over its source, the last in part. Repeated rows of
     a document are documents of their own.
@@ -123,13 +153,10 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     counts = {r["source"]: (r["n"], r["t"]) for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("size", F.coalesce("room", "size"))).alias("t")).collect()}
     names = sorted(counts)
     shards = max(1, math.ceil(sum(t for _, t in counts.values()) / shard_tokens))
-    tree = splitting_tree(np.array([counts[s][0] for s in names]), shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    dealt = [(names[s], int(k), int(ends[k, s] - tree[k, s]), int(ends[k, s])) for s in range(len(names)) for k in np.flatnonzero(tree[:, s])]
-    deal = spark.createDataFrame(dealt, "source string, shard long, first long, end long").select("source", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("place"))
+    dealt = deal(spark, names, np.array([counts[s][0] for s in names]), shards, seed)
 
     ranked = scan(drawn.withColumn("one", F.lit(1).cast("long")).withColumn("slice", F.shiftright("turn", 48)), ["source"], "slice", ["turn", "repeat", "block"], [Scan("place", "one", "sum", "before")])
-    home = ranked.join(deal, ["source", "place"]).select("source", "repeat", "block", "size", "room", "shard")
+    home = ranked.join(dealt, ["source", "place"]).select("source", "repeat", "block", "size", "room", "shard")
     got = uses.select("doc_id", "source", "repeat", "block", "order", "tokens").join(home, ["source", "repeat", "block"])
     # of the block in which a source's quota ends, a bounded set, documents are taken while they fit
     last = got.where("room < size").groupBy("source").applyInPandas(_fit, _USE)

@@ -2,7 +2,8 @@
 
 A document's pieces are hashed into a vector, the vector is projected to three dimensions, and the cell it falls into
 gets its Hilbert key. Documents are range-sorted by that key; each range is packed on its own, block by block along the
-curve, by best fit of the larger items first into containers left open. A range leaves at most a few containers unfilled.
+curve, by best fit of the larger items first into the containers left open by the blocks just before: only neighbours along
+the curve share a container.
 """
 
 from __future__ import annotations
@@ -95,32 +96,35 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY, curve: bool = True
     return documents.select(*columns).mapInArrow(measure, "doc_id long, source string, tokens long" + (", curve_key long" if curve else ""))
 
 
-def fill(sizes: list[int], capacity: int, block: int = 1024, most_open: int = 256) -> tuple[list[int], int]:
+def fill(sizes: list[int], capacity: int, block: int = 32, reach: int = 64) -> tuple[list[int], int]:
     """The container of each item, and the number of containers. Items must fit; those of size 0 go anywhere.
 
-    Items are taken in blocks, the largest of a block first, each into the open container it leaves least space in. Of
-    more than ``most_open`` containers the fullest are closed, so memory and distance along the curve stay bounded.
+    Items come in order along the curve and are taken in blocks, the largest of a block first, each into the open container it
+    leaves least space in. A container is closed once its first item lies more than ``reach`` before the block, so what shares
+    a container lies less than ``reach + block`` places apart.
     """
-    where, opened, n = [0] * len(sizes), [], 0
+    where, opened, first, n = [0] * len(sizes), [], [], 0
     for start in range(0, len(sizes), block):
+        opened = [o for o in opened if first[o[1]] >= start - reach]
         for i in sorted(range(start, min(start + block, len(sizes))), key=lambda i: (-sizes[i], i)):
             size = sizes[i]
             at = bisect_left(opened, (size, -1))
             if at < len(opened):
                 free, c = opened.pop(at)
+                first[c] = min(first[c], i)
             else:
                 free, c, n = capacity, n, n + 1
+                first.append(i)
             where[i] = c
             if free - size > 0 or size == 0:
                 insort(opened, (free - size, c))
-        if len(opened) > most_open:
-            del opened[: len(opened) - most_open]
     return where, n
 
 
-def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULARY, range_rows: int = 20_000) -> DataFrame:
-    """``container_id, doc_id, piece_no, n_pieces, start_token, tokens``: where every part of every document lies.
+def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULARY, range_rows: int = 20_000, block: int = 32, reach: int = 64) -> DataFrame:
+    """``container_id, doc_id, piece_no, n_pieces, start_token, tokens, place``: where every part of every document lies.
 
+    ``place`` is the document's along the curve; within a container places differ by less than ``reach + block`` (see ``fill``).
     A document that fits is never split; a longer one becomes full containers and one rest that is packed like an item.
     Null and empty texts are items of size 0; repeated rows are items of their own; no documents, no containers. Documents
     are spread over ranges by key and a hash of ``doc_id``, so equal texts are no hot range.
@@ -140,7 +144,7 @@ def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULAR
         size = x["tokens"].to_numpy()
         n = np.maximum(1, -(-size // capacity))
         rest = size - (n - 1) * capacity
-        where, used = fill(rest.tolist(), capacity)
+        where, used = fill(rest.tolist(), capacity, block, reach)
         doc = np.repeat(np.arange(len(x)), n)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         last = piece == n[doc] - 1
@@ -148,13 +152,27 @@ def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULAR
         container[~last] = used + np.arange(int((~last).sum()))
         yield pd.DataFrame({
             "container_id": base + container, "doc_id": x["doc_id"].to_numpy()[doc], "piece_no": piece, "n_pieces": n[doc],
-            "start_token": piece * capacity, "tokens": np.where(last, rest[doc], capacity),
+            "start_token": piece * capacity, "tokens": np.where(last, rest[doc], capacity), "place": base + doc,
         })
 
     along = measured.select("doc_id", "tokens", "curve_key").repartitionByRange(parts, "curve_key", F.xxhash64("doc_id"), "doc_id").sortWithinPartitions("curve_key", F.xxhash64("doc_id"), "doc_id")
-    return along.mapInPandas(place, "container_id long, doc_id long, piece_no long, n_pieces long, start_token long, tokens long")
+    return along.mapInPandas(place, "container_id long, doc_id long, piece_no long, n_pieces long, start_token long, tokens long, place long")
 
 
 def containers(packed: DataFrame, capacity: int = 8192) -> DataFrame:
-    """One row per container: items, tokens and free space."""
-    return packed.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("tokens").alias("tokens"), (F.lit(capacity) - F.sum("tokens")).alias("free"))
+    """One row per container: items, tokens, free space, and ``spread``, how far its items lie apart along the curve."""
+    size = F.sum("tokens")
+    return packed.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_items"), size.alias("tokens"), (F.lit(capacity) - size).alias("free"), (F.max("place") - F.min("place")).alias("spread"))
+
+
+def broken(packed: DataFrame, documents: DataFrame, capacity: int = 8192, reach: int = 96) -> DataFrame:
+    """One row: documents placed, and how often a rule of packing is broken (0 where all is right).
+
+    ``n_over``: containers over capacity; ``n_split``: parts of documents that fit; ``n_lost``: parts missing or placed twice;
+    ``n_far``: containers whose items lie ``reach`` or more places apart.
+    """
+    c = containers(packed, capacity).agg(F.count(F.when(F.col("tokens") > capacity, 1)).alias("n_over"), F.count(F.when(F.col("spread") >= reach, 1)).alias("n_far"))
+    d = packed.groupBy("place").agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("piece_no").alias("distinct"), F.max("n_pieces").alias("n"), F.sum("tokens").alias("tokens"))
+    d = d.agg(F.count(F.lit(1)).alias("n_placed"), F.count(F.when((F.col("n") > 1) & (F.col("tokens") <= capacity), 1)).alias("n_split"), F.count(F.when((F.col("parts") != F.col("n")) | (F.col("distinct") != F.col("n")), 1)).alias("n_lost"))
+    n = documents.agg(F.count(F.lit(1)).alias("n_documents"))
+    return n.crossJoin(c).crossJoin(d).select("n_documents", "n_placed", "n_over", "n_split", "n_lost", "n_far")  # three single rows

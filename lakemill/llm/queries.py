@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakemill.llm import mix, pack, split, suffix
 from lakemill.queries.problems import READINGS
 from lakemill.queries.registry import Registry
-from lakemill.session import shared_path, table
+from lakemill.session import cut, shared_path, table
 
 R = Registry()
 
@@ -76,9 +76,16 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack.containers(_packed(spark, sf))
 
 
+@R.add(sql="SELECT count(*) AS n_documents, count(*) AS n_placed, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_far FROM documents")
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document placed once, no container over its capacity, nothing split that fits, neighbours of the curve only."""
+    return pack.broken(_packed(spark, sf), table(spark, sf, "documents"))
+
+
 @R.add()
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p9_shares(spark, sf).where("short").select("source")
+    # no source is dealt more than its quota; short ones are dealt all they have, as often as they may
+    return p9_shares(spark, sf).where("short AND used_tokens <= quota_tokens").select("source")
 
 
 @R.add()
@@ -91,6 +98,20 @@ def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0]
 
 
+@R.add(sql="""WITH d AS (SELECT source, doc_id FROM documents WHERE source IN (SELECT source FROM mix_target WHERE weight > 0 AND max_repeats > 0))
+SELECT source, true AS within_repeats, true AS within_quota, true AS each_once, true AS positions_whole FROM d GROUP BY source""")
+def p9_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source used: no document more often than allowed, no more tokens than its quota, no use twice, shards without gaps."""
+    mixture, plan = mix.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+    mixture = cut(mixture)
+    shards = mixture.groupBy("shard").agg((F.count(F.lit(1)) == F.max("position") + 1).alias("whole"), F.countDistinct("position").alias("n"), F.count(F.lit(1)).alias("rows"))
+    whole = shards.agg(F.count(F.when(~F.col("whole") | (F.col("n") != F.col("rows")), 1)).alias("n_bad"))
+    rule = spark.createDataFrame([(q.source, q.max_repeats, q.quota) for q in plan], "source string, max_repeats long, quota long")
+    uses = mixture.groupBy("source", "doc_id", "repeat").agg(F.count(F.lit(1)).alias("times"), F.sum("tokens").alias("tokens"))
+    per = uses.groupBy("source").agg(F.max("repeat").alias("most"), F.max("times").alias("times"), F.sum("tokens").alias("tokens")).join(rule, "source").crossJoin(whole)  # one row
+    return per.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("tokens") <= F.col("quota")).alias("within_quota"), (F.col("times") == 1).alias("each_once"), (F.col("n_bad") == 0).alias("positions_whole"))
+
+
 @R.add()
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.pieces(table(spark, sf, "documents"), with_text=False).where("piece_no = 0").select("doc_id")
@@ -99,3 +120,24 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.pieces(table(spark, sf, "documents"))
+
+
+@R.add(sql="SELECT CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_overlap, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_ends, CAST(0 AS BIGINT) AS n_foreign")
+def p10_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """How often a rule of splitting is broken.
+
+    ``n_over``: pieces over the limit; ``n_overlap``: an overlap that isn't 64 tokens (up to 67 where 64 would cut a character);
+    ``n_gaps``: pieces that don't go on where the one before ended; ``n_ends``: documents whose pieces don't begin and end with
+    the text; ``n_foreign``: pieces whose text isn't in the document.
+    """
+    p = cut(split.pieces(table(spark, sf, "documents")))
+    before = p.select("doc_id", (F.col("piece_no") + 1).alias("piece_no"), F.col("end_token").alias("end_before"))
+    text = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"))
+    x = p.join(before, ["doc_id", "piece_no"], "left").join(text, "doc_id")
+    n = lambda c: F.count(F.when(c, 1))
+    first, last = F.col("piece_no") == 0, F.col("piece_no") == F.col("n_pieces") - 1
+    ends = (first & ~F.col("whole").startswith(F.col("text"))) | (last & ~F.col("whole").endswith(F.col("text")))
+    return x.agg(
+        n(F.col("tokens") > 2048).alias("n_over"), n(~first & ~F.col("overlap").between(64, 67)).alias("n_overlap"), n(~first & (F.col("first_token") + F.col("overlap") != F.col("end_before"))).alias("n_gaps"),
+        n(ends).alias("n_ends"), n(~F.col("whole").contains(F.col("text"))).alias("n_foreign"),
+    )

@@ -79,12 +79,27 @@ def pieces(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+SPREAD, TAIL = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
+
+
+def hashes_of(pieces: list[bytes]) -> np.ndarray:
+    """What ``Tokens.count`` knows pieces by, one at a time: up to 7 bytes with their number, of longer ones both ends."""
+    one = lambda x: int.from_bytes(x, "little")
+    short = [one(x) | len(x) << 56 if len(x) <= 7 else one(x[:8]) for x in pieces]
+    tail = [one(x[-8:]) if len(x) > 7 else 0 for x in pieces]
+    a, b = np.array(short, dtype=np.uint64), np.array(tail, dtype=np.uint64)
+    long = np.array([len(x) > 7 for x in pieces], dtype=bool)
+    return np.where(long, a * TAIL ^ b, a) * SPREAD
+
+
 class Tokens:
     """Counts and token lengths of texts. ``vocabulary``: a rank file as tiktoken reads it."""
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
+        import regex
         import tiktoken
 
+        self.pattern = regex.compile(PATTERN)
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("lakemill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -129,8 +144,8 @@ class Tokens:
                 out[span[i]] = self.count_one(texts[span[i]])
             if words is not None:
                 for i in np.flatnonzero(far):
-                    ids = self.encode(texts[span[i]]).astype(np.uint64)
-                    words.append((np.full(len(ids), span[i]), ids * np.uint64(0x9E3779B97F4A7C15)))
+                    h = hashes_of([x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(texts[span[i]])])
+                    words.append((np.full(len(h), span[i]), h))
             code, length = code[keep], length[~far]
             span = [s for s, f in zip(span, far, strict=True) if not f]
             if not span:
@@ -181,8 +196,8 @@ class Tokens:
             # what a longer piece is known by: its ends and its size
             lead = np.ascontiguousarray(window[begin[large]]).view(np.uint64).ravel()
             tail = np.ascontiguousarray(window[np.maximum(stop[large] - 8, 0)]).view(np.uint64).ravel()
-            hashes[large] = lead * np.uint64(31) ^ tail
-            words.append((np.array(span)[owner], hashes * np.uint64(0x9E3779B97F4A7C15)))
+            hashes[large] = lead * TAIL ^ tail
+            words.append((np.array(span)[owner], hashes * SPREAD))
 
     def _short_counts(self, key: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(key, return_inverse=True)

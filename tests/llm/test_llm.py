@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakemill.llm import mix, pack, split, suffix
-from lakemill.llm.tokens import tokens
+from lakemill.llm.tokens import hashes_of, tokens
 from lakemill.session import shared_path
 from tests.conftest import rows
 
@@ -46,6 +46,26 @@ def test_counts_across_spans():
     assert t.count([one, "a", one]).tolist() == [t.count_one(one), 1, t.count_one(one)]
 
 
+def test_a_piece_has_one_hash_in_any_text():
+    """Characters beyond the table of classes don't change what the other pieces are known by."""
+    t, plain = tokens(), "def compute(value):\n    return value + 12345678901  # it's done"
+    got = []
+    for text in (plain, plain + " 漢字 😀", "ñandú " + plain):
+        words: list = []
+        t.count([text], words)
+        got.append({int(h) for _, hs in words for h in hs})
+    assert len(got[0]) > 10 and len(got[0] - got[1]) <= 1 and len(got[0] - got[2]) <= 1  # what touches the seam may differ
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("abS'strelvdm 12.,\n\t-_é\xa0ñ"), max_size=60))
+def test_hashes_one_at_a_time_are_those_of_arrays(text):
+    t, words = tokens(), []
+    t.count([text], words)
+    alone = hashes_of([x.encode() for x in t.pattern.findall(text)]).tolist() if text else []
+    assert sorted(int(h) for _, hs in words for h in hs) == sorted(alone)
+
+
 # -- packing
 
 
@@ -62,9 +82,11 @@ def test_hilbert_neighbours_touch():
 @given(st.lists(st.integers(0, 100), max_size=200), st.integers(1, 40), st.integers(1, 10))
 def test_fill_never_overfills(sizes, block, most):
     where, n = pack.fill(sizes, 100, block, most)
-    load = Counter()
-    for s, c in zip(sizes, where, strict=True):
+    load, places = Counter(), defaultdict(list)
+    for i, (s, c) in enumerate(zip(sizes, where, strict=True)):
         load[c] += s
+        places[c].append(i)
+    assert all(max(p) - min(p) < most + block for p in places.values())
     assert all(v <= 100 for v in load.values()) and set(where) == set(range(n))
 
 
@@ -90,6 +112,18 @@ def test_pack_keeps_everything(spark):
         assert g.sort_values("piece_no").start_token.tolist() == [100 * k for k in range(len(g))]
     assert len(got) - len(many) == len(data) - len(set(many.doc_id))
     assert pack.pack(docs(spark, data[:0])).count() == 0
+    assert rows(pack.broken(pack.pack(docs(spark, data), capacity=100, range_rows=60), docs(spark, data), 100)) == [(len(data), len(data), 0, 0, 0, 0)]
+
+
+def test_a_container_holds_neighbours_of_the_curve(spark):
+    """Three kinds of texts, shuffled: containers hold one kind but at the seams, and items lie close along the curve."""
+    kinds = [["alpha", "beta", "gamma"], ["SELECT", "FROM", "WHERE"], ["漢字", "かな", "カナ"]]
+    rng = random.Random(3)
+    data = [(i, str(i % 3), " ".join(rng.choice(kinds[i % 3]) for _ in range(30))) for i in range(900)]
+    got = pack.pack(docs(spark, data), capacity=600).toPandas()
+    got["kind"] = got.doc_id % 3
+    g = got.groupby("container_id")
+    assert (g.place.max() - g.place.min()).max() < 96 and (g.kind.nunique() == 1).mean() > 0.8
 
 
 # -- mixing
@@ -101,6 +135,9 @@ def test_splitting_tree_is_exact(blocks, shards):
     got = mix.splitting_tree(np.array(blocks), shards)
     assert got.shape == (shards, len(blocks)) and (got >= 0).all()
     assert got.sum(axis=0).tolist() == blocks
+    for stop in (2, 5):  # a subtree grown on its own is the same
+        below = [n for a, b, have in mix.split_nodes(np.array(blocks), 0, shards, 7, stop) for *_, n in mix.split_nodes(have, a, b, 7)]
+        assert np.array(below).tolist() == got.tolist()
     per = got.sum(axis=1)
     assert per.max() - per.min() <= shards.bit_length() + 1
 
