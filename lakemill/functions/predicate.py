@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, date, datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 from typing import Any
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPERATORS = (">=", "<=", "!=", "=", ">", "<")
 
@@ -70,6 +74,48 @@ class Predicate:
             return True
 
 
+EPOCH = datetime(1970, 1, 1)
+
+
+def comparable(value: Any, dtype: T.DataType, zone: str = "UTC") -> Any:
+    """A literal as it compares with bounds of a column: times as UTC micros, dates as days, decimals as they are.
+
+    None where it can't be told, so that nothing is ruled out. ``zone``: the session's, in which texts without one are read.
+    """
+    try:
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            t = value if isinstance(value, datetime) else datetime.fromisoformat(value) if isinstance(value, str) else None
+            if t is None or (t.tzinfo is not None and isinstance(dtype, T.TimestampNTZType)):
+                return None
+            if isinstance(dtype, T.TimestampType):
+                t = (t if t.tzinfo is not None else t.replace(tzinfo=ZoneInfo(zone))).astimezone(UTC).replace(tzinfo=None)
+            return (t - EPOCH) // timedelta(microseconds=1)
+        if isinstance(dtype, T.DateType):
+            d = date.fromisoformat(value) if isinstance(value, str) else value if type(value) is date else None
+            return (d - EPOCH.date()).days if d is not None else None
+        if isinstance(dtype, T.StringType):
+            return value if isinstance(value, str) else None
+        return None if isinstance(value, str) else value
+    except (ValueError, KeyError):
+        return None
+
+
+def bound(value: Any, dtype: T.DataType) -> Any:
+    """A stored bound as it compares with ``comparable``: decimals are kept as text."""
+    return Decimal(value) if isinstance(dtype, T.DecimalType) and isinstance(value, str) else value
+
+
+def storable(value: Any) -> Any:
+    """A bound from a footer as it is kept: see ``comparable``; None if it isn't kept."""
+    if isinstance(value, datetime):
+        return ((value.astimezone(UTC).replace(tzinfo=None) if value.tzinfo else value) - EPOCH) // timedelta(microseconds=1)
+    if isinstance(value, date):
+        return (value - EPOCH.date()).days
+    if isinstance(value, Decimal):
+        return str(value)
+    return value if isinstance(value, (bool, int, str)) or (isinstance(value, float) and value == value) else None
+
+
 def conjunction(predicates: list[Predicate | str]) -> Column:
     parsed = [Predicate.parse(p) if isinstance(p, str) else p for p in predicates]
     return reduce(lambda a, b: a & b, (p.expression() for p in parsed)) if parsed else F.lit(True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import date, timedelta
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,43 @@ class Transform:
             return column
         return f"{column}_{self.kind}" if self.width is None else f"{column}_{self.kind}_{self.width}"
 
+    def of(self, value: Any, dtype: T.DataType) -> Any:
+        """The partition value of one value as ``predicate.comparable`` makes it (times are micros, dates days); None if it can't be told."""
+        if self.kind == "identity":
+            return value if isinstance(dtype, (T.IntegralType, T.StringType, T.BooleanType)) else None
+        if self.kind in ("year", "month", "day", "hour"):
+            if not isinstance(value, int):
+                return None
+            hours = value // 3_600_000_000 if not isinstance(dtype, T.DateType) else value * 24
+            if self.kind in ("day", "hour"):
+                return hours // 24 if self.kind == "day" else hours
+            day = date(1970, 1, 1) + timedelta(days=hours // 24)
+            return day.year - 1970 if self.kind == "year" else (day.year - 1970) * 12 + day.month - 1
+        if self.kind == "truncate":
+            if isinstance(value, int) and isinstance(dtype, T.IntegralType):
+                return value - value % self.width
+            return value[: self.width] if isinstance(value, str) and isinstance(dtype, T.StringType) else None
+        if isinstance(value, int) and isinstance(dtype, T.IntegralType):
+            return (murmur3_bytes(value.to_bytes(8, "little", signed=True)) & 0x7FFFFFFF) % self.width
+        return (murmur3_bytes(value.encode()) & 0x7FFFFFFF) % self.width if isinstance(value, str) and isinstance(dtype, T.StringType) else None
+
+    def may_match(self, part: str | None, op: str, value: Any, dtype: T.DataType) -> bool:
+        """False only if no row of this partition value can meet ``column op value``; a null meets nothing."""
+        if part is None:
+            return False
+        at = self.of(value, dtype)
+        if at is None:
+            return True
+        known = part if isinstance(at, str) else {"true": True, "false": False}.get(part) if isinstance(at, bool) else int(part)
+        if op == "=":
+            return known == at
+        if op == "!=":
+            return not (self.kind == "identity" and known == at)
+        if self.kind == "bucket" or known is None:
+            return True
+        # the other transforms never turn an order around
+        return known >= at if op in (">", ">=") else known <= at
+
     def __call__(self, column: str, dtype: T.DataType) -> Column:
         """The partition value of a column; null stays null."""
         c = F.col(column)

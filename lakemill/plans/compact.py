@@ -11,7 +11,6 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,59 +71,64 @@ class FileCompactor:
     delete_sources: bool = False
     codec: str = "snappy"
 
-    def _pending(self, storage: Storage) -> tuple[list[FileMeta], dict[str, str], list[list[FileMeta]]]:
+    def _pending(self, storage: Storage) -> tuple[list[FileMeta], dict[str, str], list[list[FileMeta]], int]:
+        """The files to compact, why others aren't, the files of each output, and the rows of all."""
         if self.after_ms is not None and self.until_ms is not None and self.after_ms >= self.until_ms:
             raise ValueError("the window is empty")
         names = {p for p, *_ in storage.files(self.root)}
         found = [f for f in loose.list_files(self.spark, self.root, self.prefix, self.after_ms, self.until_ms) if not f.compacted and f.key + MARKER not in names]
-        skipped = loose.check_sizes(self.spark, [f.key for f in found])
-        good = [f for f in found if f.key not in skipped]
-        with ThreadPoolExecutor(10) as pool:
-            schemas = list(pool.map(lambda f: pq.read_schema(f.key.removeprefix("file:")), good))
-        for f, s in zip(good, schemas, strict=True):
-            if not s.equals(schemas[0]):
-                skipped[f.key] = "another schema"
-        good = [f for f in good if f.key not in skipped]
+        feet = loose.footers(self.spark, [f.key for f in found])
+        skipped = {k: f.error for k, f in feet.items() if f.error}
+        whole = [f for f in found if f.key not in skipped]
+        skipped |= {f.key: "another schema" for f in whole if not feet[f.key].schema.equals(feet[whole[0].key].schema)}
+        good = [f for f in whole if f.key not in skipped]
         groups: dict[int, list[FileMeta]] = defaultdict(list)
         for f, g in zip(good, greedy_groups([f.size for f in good], self.target_bytes), strict=True):
             groups[g].append(f)
-        return good, skipped, list(groups.values())
+        return good, skipped, list(groups.values()), sum(feet[f.key].rows for f in good)
 
-    def _rows(self, groups: list[list[FileMeta]]) -> DataFrame:
-        df = loose.read(self.spark, [f.key for g in groups for f in g], ordered=True)
+    def _write(self, storage: Storage, groups: list[list[FileMeta]], aside: str) -> list[tuple[str, int, int]]:
+        """Writes the outputs below ``aside``; (path, bytes, rows) of each."""
+        into = self.spark.createDataFrame(list(enumerate(i for i, g in enumerate(groups) for _ in g)), "file_no int, output_no int")
+        df = loose.read(self.spark, [f.key for g in groups for f in g], ordered=True, checked=True)
         if self.dedup:
             df = first_rows(df, [c for c in df.columns if c not in ("file_no", "row_no")], ["file_no", "row_no"])
-        return df
+        df = df.join(F.broadcast(into), "file_no")  # a row per file
+        df = df.repartitionByRange(len(groups), "output_no").sortWithinPartitions("output_no", "file_no", "row_no")
+        df.drop("file_no", "row_no").write.option("compression", loose.check_codec(self.codec)).partitionBy("output_no").parquet(aside)
+        found = [(p, n) for p, n, _ in storage.files(aside)]
+        feet = loose.footers(self.spark, [p for p, _ in found])
+        return [(p, n, feet[p].rows) for p, n in found]
 
     def plan(self) -> CompactionResult:
-        """What a run would do, without writing."""
-        good, skipped, groups = self._pending(Storage(self.spark))
-        r = CompactionResult(len(good), len(groups), bytes_in=sum(f.size for f in good), skipped=skipped, last_processed_ms=good[-1].millis if good else None)
+        """What a run would do: its outputs are written aside, measured and dropped."""
+        storage = Storage(self.spark)
+        good, skipped, groups, total = self._pending(storage)
+        r = CompactionResult(len(good), bytes_in=sum(f.size for f in good), skipped=skipped, last_processed_ms=good[-1].millis if good else None)
         if good:
-            total = sum(pq.read_metadata(f.key.removeprefix("file:")).num_rows for f in good)
-            r.records = self._rows(groups).count() if self.dedup else total
+            aside = f"{self.root}/_compaction/plan-{uuid.uuid4().hex}"
+            try:
+                made = self._write(storage, groups, aside)
+            finally:
+                storage.delete(aside)
+            r.files_created, r.bytes_out, r.records = len(made), sum(n for _, n, _ in made), sum(n for *_, n in made)
             r.duplicates_eliminated = total - r.records
-        r.bytes_out = r.bytes_in
         return r
 
     def run(self) -> CompactionResult:
         storage = Storage(self.spark)
         self.recover(storage)
-        good, skipped, groups = self._pending(storage)
+        good, skipped, groups, total = self._pending(storage)
         r = CompactionResult(len(good), bytes_in=sum(f.size for f in good), skipped=skipped)
         if not good:
             return r
-        total = sum(pq.read_metadata(f.key.removeprefix("file:")).num_rows for f in good)
-        number = [i for i, g in enumerate(groups) for _ in g]
-        into = self.spark.createDataFrame(list(enumerate(number)), "file_no int, output_no int")
         run = uuid.uuid4().hex
         aside = f"{self.root}/_compaction/{run}"
-        df = self._rows(groups).join(into, "file_no").repartitionByRange(len(groups), "output_no").sortWithinPartitions("output_no", "file_no", "row_no")
-        df.drop("file_no", "row_no").write.option("compression", loose.check_codec(self.codec)).partitionBy("output_no").parquet(aside)
+        made = self._write(storage, groups, aside)
         # names of outputs move on by a millisecond where two would share one
         taken: set[str] = {p.rsplit("/", 1)[-1] for p, *_ in storage.files(self.root)}
         moves = []
-        for path, size, _ in storage.files(aside):
+        for path, size, _ in made:
             g = groups[int(path.rsplit("output_no=", 1)[1].split("/")[0])]
             ms, part = max(f.millis for f in g), 0
             while (name := FileMeta.name(self.prefix, ms, True, part)) in taken:
@@ -134,7 +138,7 @@ class FileCompactor:
         journal = {"moves": [m[:2] for m in moves], "sources": [f.key for f in good], "delete": self.delete_sources}
         storage.create(f"{self.root}/_compaction/{run}.json", json.dumps(journal))
         r.outputs, r.bytes_out, r.files_created = [m[1] for m in moves], sum(m[2] for m in moves), len(moves)
-        r.records = sum(pq.read_metadata(m[0].removeprefix("file:")).num_rows for m in moves)
+        r.records = sum(n for *_, n in made)
         r.duplicates_eliminated = total - r.records
         r.delete_failures = self._finish(storage, run, journal)
         r.last_processed_ms = max(f.millis for f in good)
@@ -209,8 +213,8 @@ def compact_table(table: LakeTable, min_files: int = 5, target_bytes: int = 100
         return TableCompaction()
     stored = {c.stored: c.name for c in m.columns}
     schema = T.StructType([T.StructField(c.stored, c.dtype, True) for c in m.columns])
-    df = loose.read(table.spark, [e.path for e in chosen], schema, ordered=True)
-    df = df.select(*[F.col(f"`{s}`").alias(n) for s, n in stored.items()], "file_no", "row_no")
+    df = loose.read(table.spark, [e.path for e in chosen], schema, ordered=bool(dedup), checked=True)
+    df = df.select(*[F.col(f"`{s}`").alias(n) for s, n in stored.items()], *(("file_no", "row_no") if dedup else ()))
     before = sum(e.rows for e in chosen)
     if dedup:
         keys = dedup if isinstance(dedup, list) else [c for c in m.identifiers if c in stored.values()] or list(stored.values())
@@ -219,7 +223,9 @@ def compact_table(table: LakeTable, min_files: int = 5, target_bytes: int = 100
     df = df.drop("file_no", "row_no")
     if not m.partitions:
         df = df.repartition(outputs) if not m.sort else df.repartitionByRange(outputs, *[s.expression() for s in m.sort])
-    written = table.write_files(df, m)
+    # by the partition whose rows are largest, so that no file is over the target
+    a_row = max((sum(e.bytes for e in g) / max(1, sum(e.rows for e in g)) for g in groups.values()), default=1.0)
+    written = table.write_files(df, m, most_rows=max(1, int(target_bytes / max(a_row, 1e-9))))
     if not written:
         return TableCompaction()
     gone, made = {e.path for e in chosen}, []

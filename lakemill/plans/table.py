@@ -1,23 +1,28 @@
-"""Tables over a snapshot log: every scan is one Parquet read of the files that the log and their statistics leave."""
+"""Tables over a snapshot log: every scan is one Parquet read of the files that the log, their bounds and partitions leave."""
 
 from __future__ import annotations
 
 import dataclasses
+import json
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 from urllib.parse import unquote
 
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemill.functions.predicate import Predicate, conjunction
+from lakemill.functions.predicate import Predicate, bound, comparable, conjunction, storable
 from lakemill.plans.log import CommitConflict, FileEntry, Metadata, NoSuchSnapshot, Snapshot, SnapshotLog
 from lakemill.plans.schema import Reconciled, SchemaError, TableSchema, conform, first_columns, reconcile
-from lakemill.sources.files import check_codec
+from lakemill.sources.files import check_codec, local_path
 from lakemill.sources.storage import Storage
 
 #: Properties that ``TableConfig`` sets, under their public names.
@@ -48,6 +53,18 @@ class TableConfig:
         return out
 
 
+@contextmanager
+def times_as_micros(spark: SparkSession) -> Iterator[None]:
+    """Times with a zone are written as micros, which have bounds in footers, and not in the old form, which has none."""
+    key = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Catalog:
     """Tables in a folder: ``warehouse/namespace/table``."""
 
@@ -93,47 +110,50 @@ class Catalog:
         return t, "evolved" if r.changed else "up-to-date", r if r.changed else None
 
 
-def footers(spark: SparkSession, storage: Storage, files: list[tuple[str, int]], stored: dict[str, str]) -> dict[str, tuple[int, dict, dict]]:
-    """path -> (rows, lowest, highest value per column), from footers. ``stored``: name in files -> column name."""
-
-    def one(path: str, data: Any) -> tuple[int, dict, dict]:
-        meta = pq.ParquetFile(data).metadata
-        low, high, known = {}, {}, {}
-        for g in range(meta.num_row_groups):
-            for c in range(meta.num_columns):
-                x = meta.row_group(g).column(c)
-                if x.path_in_schema not in stored:
-                    continue
-                name, st = stored[x.path_in_schema], x.statistics
-                if st is None:
-                    known[name] = False
-                elif st.has_min_max and isinstance(st.min, (bool, int, float, str)):
-                    low[name], high[name] = min(low.get(name, st.min), st.min), max(high.get(name, st.max), st.max)
-                elif not (st.has_null_count and st.null_count == x.num_values + st.null_count and x.num_values == 0):
-                    known[name] = False
-        bad = [n for n, ok in known.items() if not ok]
-        return meta.num_rows, {k: v for k, v in low.items() if k not in bad}, {k: v for k, v in high.items() if k not in bad}
-
-    local = [p.removeprefix("file:") for p, _ in files]
-    if all(p.startswith("/") for p in local) and len(files) <= DRIVER_FOOTERS:
-        with ThreadPoolExecutor(8) as pool:
-            return dict(zip([p for p, _ in files], pool.map(lambda p: one(p, p), local), strict=True))
-    import json
-
-    def read(batches):  # noqa: ANN001, ANN202
-        import pandas as pd
-        from pyarrow import fs as pafs
-
-        for b in batches:
-            rows = []
-            for p in b["path"]:
-                store, at = (pafs.LocalFileSystem(), p.removeprefix("file:")) if p.startswith(("/", "file:")) else pafs.FileSystem.from_uri(p)
-                with store.open_input_file(at) as f:
-                    rows.append((p, json.dumps(one(p, f))))
-            yield pd.DataFrame(rows, columns=["path", "j"])
-
-    df = spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(max(1, len(files) // 64))
-    return {r["path"]: tuple(json.loads(r["j"])) for r in df.mapInPandas(read, "path string, j string").collect()}
+def _bounds(f: pq.ParquetFile, stored: dict[str, str]) -> tuple[int, dict, dict]:
+    """(rows, lowest, highest value per column) of a file, from its footer; a column that a row group knows nothing of has none."""
+    meta = f.metadata
+    low, high, unknown = {}, {}, set()
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            x = meta.row_group(g).column(c)
+            if x.path_in_schema not in stored:
+                continue
+            name, st = stored[x.path_in_schema], x.statistics
+            if st is not None and st.has_min_max and (a := storable(st.min)) is not None and (b := storable(st.max)) is not None:
+                # decimals are kept as text but ordered as numbers
+                order = (lambda v: Decimal(v)) if isinstance(st.min, Decimal) else (lambda v: v)
+                low[name], high[name] = min(low.get(name, a), a, key=order), max(high.get(name, b), b, key=order)
+            elif st is None or not (st.has_null_count and st.null_count == meta.row_group(g).num_rows):
+                unknown.add(name)
+    return meta.num_rows, {k: v for k, v in low.items() if k not in unknown}, {k: v for k, v in high.items() if k not in unknown}
+
+
+def bounds(spark: SparkSession, storage: Storage, files: list[tuple[str, int]], stored: dict[str, str]) -> dict[str, tuple[int, dict, dict]]:
+    """path -> what ``_bounds`` says. ``stored``: name in files -> column name.
+
+    Footers are read on the driver by threads, through Hadoop's file systems where they aren't on local disks; of more than
+    ``DRIVER_FOOTERS`` files on local disks by a job.
+    """
+    local = [local_path(p) for p, _ in files]
+    if None in local or len(files) <= DRIVER_FOOTERS:
+
+        def one(path: str) -> tuple[int, dict, dict]:
+            at = local_path(path)
+            if at is not None:
+                return _bounds(pq.ParquetFile(at), stored)
+            with storage.open(path) as f:
+                return _bounds(pq.ParquetFile(f), stored)
+
+        with ThreadPoolExecutor(8 if None not in local else 32) as pool:
+            return dict(zip([p for p, _ in files], pool.map(one, [p for p, _ in files]), strict=True))
+
+    def some(frames: Any) -> Any:
+        for b in frames:
+            yield pd.DataFrame({"path": b["path"], "j": [json.dumps(_bounds(pq.ParquetFile(p), stored)) for p in b["at"]]})
+
+    df = spark.createDataFrame([(p, at) for (p, _), at in zip(files, local, strict=True)], "path string, at string").repartition(max(1, len(files) // 64))
+    return {r["path"]: tuple(json.loads(r["j"])) for r in df.mapInPandas(some, "path string, j string").collect()}
 
 
 class LakeTable:
@@ -152,7 +172,7 @@ class LakeTable:
         for p in parsed:
             if p.column not in names:
                 raise SchemaError(f"no column {p.column}")
-        paths = [e.path for e in entries if e.rows and all(p.may_match(e.low.get(p.column), e.high.get(p.column)) for p in parsed)]
+        paths = [e.path for e in entries if e.rows and self._may_hold(e, parsed, m)]
         stored = T.StructType([T.StructField(c.stored, c.dtype, True) for c in m.columns])
         df = self.spark.read.schema(stored).parquet(*paths) if paths else self.spark.createDataFrame([], stored)
         df = df.select(*[F.col(f"`{c.stored}`").alias(c.name) for c in m.columns])
@@ -162,8 +182,29 @@ class LakeTable:
             df = df.where(where)
         return df.select(*[f"`{c}`" for c in columns]) if columns is not None else df
 
+    def _may_hold(self, e: FileEntry, parsed: list[Predicate], m: Metadata) -> bool:
+        """False only if the bounds or the partition of a file rule a filter out."""
+        zone = self.spark.conf.get("spark.sql.session.timeZone")
+        types = {c.name: c.dtype for c in m.columns}
+        for p in parsed:
+            dtype = types[p.column]
+            v = comparable(p.value, dtype, zone)
+            if v is None:
+                continue
+            low, high = bound(e.low.get(p.column), dtype), bound(e.high.get(p.column), dtype)
+            if isinstance(v, float):  # as Spark compares a decimal with a double
+                low, high = (float(x) if isinstance(x, Decimal) else x for x in (low, high))
+            if not Predicate(p.column, p.op, v).may_match(low, high):
+                return False
+            for f in m.partitions if e.spec_id == m.spec_id else ():
+                # days and more of times with a zone are those of the session that wrote them
+                told = not isinstance(dtype, T.TimestampType) or f.transform.kind in ("identity", "hour", "bucket") or zone in ("UTC", "Etc/UTC", "Z")
+                if f.column == p.column and f.name in e.partition and told and not f.transform.may_match(e.partition[f.name], p.op, v, dtype):
+                    return False
+        return True
+
     def scan(self, columns: list[str] | None = None, filters: list[Predicate | str] = (), where: Column | None = None, snapshot_id: int | None = None, branch: str = "main", limit: int | None = None) -> DataFrame:
-        """The rows of a snapshot (the branch's newest by default). Files whose statistics rule a filter out aren't read."""
+        """The rows of a snapshot (the branch's newest by default). Files whose bounds or partitions rule a filter out aren't read."""
         m = self.metadata()
         i = m.snapshot(snapshot_id).id if snapshot_id is not None else m.refs.get(branch)
         if i is None and branch != "main":
@@ -231,9 +272,18 @@ class LakeTable:
 
     # -- writing
 
-    def write_files(self, df: DataFrame, m: Metadata | None = None, target_bytes: int | None = None, by_partition: bool = True) -> list[FileEntry]:
+    def rows_for(self, m: Metadata, target_bytes: int) -> int | None:
+        """How many rows make a file of about ``target_bytes``, by what the newest snapshot that added rows took for them; None if none did."""
+        for s in m.lineage(m.refs.get("main")):
+            rows, size = s.summary.get("added-records", 0), s.summary.get("added-bytes", 0)
+            if rows and size:
+                return max(1, target_bytes * rows // size)
+        return None
+
+    def write_files(self, df: DataFrame, m: Metadata | None = None, target_bytes: int | None = None, by_partition: bool = True, most_rows: int | None = None) -> list[FileEntry]:
         """Writes rows as data files of the table without committing them.
 
+        A file gets at most ``most_rows`` rows, or about ``target_bytes`` by the size that the table's rows had so far.
         Rows go to files by partition, sorted within each file as the table is; a hot partition is spread over tasks by AQE's
         rebalancing. Files are known by a folder of their own, so a failed write leaves nothing in the table.
         """
@@ -253,11 +303,16 @@ class LakeTable:
             body = body.sortWithinPartitions(*order)
         out = f"{self.location}/data/{uuid.uuid4().hex}"
         w = body.write.option("compression", m.properties.get(PROPERTIES["codec"], "snappy"))
+        if most_rows is None and target_bytes is not None:
+            most_rows = self.rows_for(m, target_bytes)
+        if most_rows is not None:
+            w = w.option("maxRecordsPerFile", most_rows)
         if parts:
             w = w.partitionBy(*names)
-        w.parquet(out)
+        with times_as_micros(self.spark):
+            w.parquet(out)
         found = [(p, n) for p, n, _ in self.storage.files(out) if p.endswith(".parquet")]
-        stats = footers(self.spark, self.storage, found, {c.stored: c.name for c in m.columns}) if found else {}
+        stats = bounds(self.spark, self.storage, found, {c.stored: c.name for c in m.columns}) if found else {}
         entries = []
         for p, n in found:
             rows, low, high = stats[p]
@@ -289,8 +344,13 @@ class LakeTable:
 
     def has_files(self, paths: list[str]) -> set[str]:
         """Which of the paths any snapshot has added."""
-        m, want = self.metadata(), set(paths)
-        return {e.path for s in m.snapshots.values() for e in self.log.read_manifest(s.manifest)[0] if e.path in want}
+        m, want, found = self.metadata(), set(paths), set()
+        # newest first: what a dead process had written was committed last, if at all
+        for s in sorted(m.snapshots.values(), key=lambda s: -s.sequence):
+            if want <= found:
+                break
+            found |= want & {e.path for e in self.log.read_manifest(s.manifest)[0]}
+        return found
 
     # -- schema and properties
 

@@ -5,6 +5,8 @@ A table's batch k is the rows with ``event_id % K = k``, appended in order of k.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from lakemill.functions.predicate import conjunction
 from lakemill.functions.transforms import Transform
 from lakemill.operators import dedup
 from lakemill.operators.listing import data_files, marked
-from lakemill.plans.compact import compact_table, eligible, greedy_groups
+from lakemill.plans.compact import CompactionResult, FileCompactor, Scheduler, compact_table, eligible, greedy_groups
 from lakemill.plans.log import CommitConflict, Snapshot
 from lakemill.plans.schema import PartitionField, SortField, TableSchema
 from lakemill.plans.table import Catalog, LakeTable, TableConfig
@@ -24,7 +26,9 @@ from lakemill.plans.wap import WapTransaction
 from lakemill.queries.problems import FILES
 from lakemill.queries.registry import Registry
 from lakemill.session import shared_path, table
-from lakemill.sources.files import read, window
+from lakemill.sources.files import list_files, read, window
+from lakemill.sources.storage import Storage
+from lakemill.sources.upload import FileUpload
 from lakemill.streaming import poll
 from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, file_ordinals, stream_to_table
 
@@ -121,16 +125,34 @@ def scan_at_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     return _by_days(spark, sf).scan_at(1_705_276_800_000)
 
 
-@R.add(sql="SELECT CAST(3 AS BIGINT) AS sequence, CAST(1704067200000 + 10 * 86400000 AS BIGINT) AS timestamp_ms")
+_FIVE = "least(greatest(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 5), 0), 5)"
+
+
+def _of_snapshot(t: LakeTable, s: Snapshot) -> DataFrame:
+    return t.scan(snapshot_id=s.id).agg(F.lit(s.sequence).cast("long").alias("sequence"), F.lit(s.timestamp_ms).cast("long").alias("timestamp_ms"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"))
+
+
+@R.add(sql=f"SELECT CAST(max({_FIVE}) + 1 AS BIGINT) AS sequence, CAST(1704067200000 + max({_FIVE}) * 5 * 86400000 AS BIGINT) AS timestamp_ms, count(*) AS n, max(ts) AS newest FROM events WHERE {_FIVE} <= 2")
 def snapshot_at_timestamp(spark: SparkSession, sf: str) -> DataFrame:
-    s = _by_days(spark, sf).snapshot_at(1_705_276_800_000)
-    return spark.createDataFrame([(s.sequence, s.timestamp_ms)], "sequence long, timestamp_ms long")
+    t = _by_days(spark, sf)
+    return _of_snapshot(t, t.snapshot_at(1_705_276_800_000))
 
 
-@R.add(sql="SELECT CAST(1 AS BIGINT) AS sequence, CAST(1704067200000 AS BIGINT) AS timestamp_ms")
+@R.add(sql=f"SELECT CAST(1 AS BIGINT) AS sequence, CAST(1704067200000 + min({_FIVE}) * 5 * 86400000 AS BIGINT) AS timestamp_ms, count(*) AS n, max(ts) AS newest FROM events WHERE {_FIVE} = (SELECT min({_FIVE}) FROM events)")
 def earliest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    s = _by_days(spark, sf).earliest()
-    return spark.createDataFrame([(s.sequence, s.timestamp_ms)], "sequence long, timestamp_ms long")
+    t = _by_days(spark, sf)
+    return _of_snapshot(t, t.earliest())
+
+
+@R.add(sql="SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_id % 5) AS n_files FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' AND ts < TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+def scan_pruned_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Five appends partitioned by day: bounds of times and partitions leave the files of the days asked for; an error if others are read."""
+    t, _ = _events(spark, sf, 5, partitions=(PartitionField("ts", Transform("day")),))
+    df = t.scan(filters=["ts >= 2024-01-20 12:00:00", "ts < 2024-01-24"])
+    days = {f.partition["ts_day"] for f in t.log.live(t.metadata(), t.current().id) if f.path in {p.replace("file:///", "file:/") for p in df.inputFiles()}}
+    if not days <= {str(d) for d in range(19_742, 19_746)}:
+        raise AssertionError(f"files of other days are read: {sorted(days)}")
+    return df.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_metadata.file_path").alias("n_files"))
 
 
 @R.add(sql="SELECT CAST(k + 1 AS BIGINT) AS sequence, 'append' AS operation, CAST(n AS VARCHAR) AS records FROM (SELECT event_id % 4 AS k, count(*) AS n FROM events GROUP BY 1)")
@@ -228,8 +250,6 @@ _partitioned("partition_day", "events", "ts", "day", "date_diff('day', DATE '197
 _partitioned("partition_hour", "events", "ts", "hour", "CAST(floor(epoch_us(ts) / 3600000000) AS INTEGER)")
 _partitioned("partition_truncate_int", "lineitem", "l_orderkey", "truncate[100]", "l_orderkey - l_orderkey % 100")
 _partitioned("partition_truncate_str", "part", "p_name", "truncate[3]", "left(p_name, 3)")
-_partitioned("partition_bucket_str", "customer", "c_name", "bucket[16]", None)
-
 _M = lambda x, k: f"CAST(CAST({x} AS HUGEINT) * {k} % 4294967296 AS BIGINT)"
 _ROT = lambda x, n: f"((({x}) << {n}) & 4294967295 | (({x}) >> {32 - n}))"
 _MURMUR = f"""WITH v AS (SELECT l_orderkey AS v FROM lineitem),
@@ -248,10 +268,47 @@ def partition_bucket_long(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy(Transform.parse("bucket[16]")("l_orderkey", T.LongType()).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(sql="SELECT CAST(ts AS DATE) AS day, count(DISTINCT event_id % 7) AS n_files FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 7) >= 5")
+def _murmur_of_text(source: str, column: str, length: int) -> str:
+    """SQL of 32-bit murmur3 from seed 0 of ASCII texts of one length."""
+    byte = lambda i: f"ascii(substr({column}, {i + 1}, 1))"
+    block = lambda at, n: " | ".join(f"({byte(at + i)} << {8 * i})" for i in range(n))
+    steps, last = [f"h0 AS (SELECT {column}, CAST(0 AS BIGINT) AS h FROM {source})"], 0
+    for k, at in enumerate(range(0, length, 4)):
+        n = min(4, length - at)
+        mixed = _M(_ROT(_M(f"({block(at, n)})", 3432918353), 15), 461845907)
+        end = f"CAST((CAST({_ROT(f'xor(h, {mixed})', 13)} AS HUGEINT) * 5 + 3864292196) % 4294967296 AS BIGINT)" if n == 4 else f"xor(h, {mixed})"
+        steps.append(f"h{k + 1} AS (SELECT {column}, {end} AS h FROM h{k})")
+        last = k + 1
+    steps += [f"x AS (SELECT xor(h, {length}) AS h FROM h{last})", f"y AS (SELECT {_M('xor(h, h >> 16)', 2246822507)} AS h FROM x)", f"z AS (SELECT {_M('xor(h, h >> 13)', 3266489909)} AS h FROM y)"]
+    return f"WITH {', '.join(steps)} SELECT CAST((xor(h, h >> 16) & 2147483647) % 16 AS INTEGER) AS part, count(*) AS n FROM z GROUP BY 1"
+
+
+# a customer's name is "Customer#" and nine digits
+_partitioned("partition_bucket_str", "customer", "c_name", "bucket[16]", None)
+R.sql["partition_bucket_str"] = _murmur_of_text("customer", "c_name", 18)
+
+
+@R.add(sql="SELECT CAST(ts AS DATE) AS day, count(DISTINCT event_id % 7) AS n_files, count(*) AS n FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 7) >= 5")
 def partition_file_counts(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), (F.col(KEY) % 7).alias("batch"))
-    return e.groupBy("day").agg(F.countDistinct("batch").alias("n_files")).where("n_files >= 5")
+    """Files per partition of a table after seven appends, of partitions that are to be compacted."""
+    t, _ = _events(spark, sf, 7, partitions=(PartitionField("ts", Transform("day")),))
+    groups = eligible(t.log.live(t.metadata(), t.current().id))
+    rows = [(int(dict(k[1])["ts_day"]), len(v), sum(e.rows for e in v)) for k, v in groups.items()]
+    return spark.createDataFrame(rows, "d int, n_files long, n long").select(F.date_from_unix_date("d").alias("day"), "n_files", "n")
+
+
+@R.add(sql="SELECT CAST(ts AS DATE) AS day, count(*) AS n, true AS within, true AS fewer FROM events GROUP BY 1")
+def compact_target_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Partitions by day of six appends compacted to files of a third of a day's bytes: none is much larger, and they are fewer."""
+    t, _ = _events(spark, sf, 6, partitions=(PartitionField("ts", Transform("day")),))
+    before = t.files().groupBy(F.col("partition")["ts_day"].alias("d")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))
+    mean = before.agg(F.avg("bytes")).first()[0]
+    before = spark.createDataFrame(before.collect(), before.schema)  # a row per partition, before these files are replaced
+    compact_table(t, target_bytes=int(mean / 3))
+    after = t.files().groupBy(F.col("partition")["ts_day"].alias("d")).agg(F.sum("rows").alias("n"), F.max("bytes").alias("largest"), F.count(F.lit(1)).alias("left"))
+    x = after.join(before, "d")
+    # a small file's footer weighs more than its share, so a rewritten third is at most the target
+    return x.select(F.date_from_unix_date(F.col("d").cast("int")).alias("day"), "n", (F.col("largest") <= mean / 3 * 1.1).alias("within"), (F.col("left") < F.col("files")).alias("fewer"))
 
 
 @R.add(sql="SELECT event_type, count(DISTINCT event_id % 5) >= 5 AS compact, count(*) AS records FROM events GROUP BY 1")
@@ -292,20 +349,60 @@ def _day_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(sql=f"{GREEDY} SELECT grp, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY grp")
-def compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
+def compaction_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _day_groups(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
-@R.add(sql=f"""{GREEDY}, rows AS (SELECT grp, user_id, event_type, count(*) AS n, min(event_id % 97) AS kept FROM g JOIN events ON CAST(ts AS DATE) = day GROUP BY ALL),
-o AS (SELECT grp, CAST(sum(n) AS BIGINT) AS rows_in, count(*) AS records, CAST(sum(kept) AS BIGINT) AS bytes_out FROM rows GROUP BY grp)
-SELECT o.grp, s.n_files, records, rows_in - records AS duplicates, greatest(0, s.bytes - bytes_out) AS bytes_saved FROM o JOIN (SELECT grp, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY grp) s ON s.grp = o.grp""")
+def _day_files(spark: SparkSession, sf: str) -> FileCompactor:
+    """Each day's events in a loose file of its own, twice: the second copy a minute later. A compactor of them all, to half their bytes."""
+    e, root, store = table(spark, sf, "events"), shared_path(spark, "loose"), Storage(spark)
+    e.withColumn("day", F.datediff("ts", F.lit("1970-01-01").cast("date"))).repartition("day").write.option("maxRecordsPerFile", 0).partitionBy("day").parquet(f"{root}-aside")
+    store.write(f"{root}/readme.txt", "not a data file")
+    for p, _, _ in store.files(f"{root}-aside"):
+        ms = int(p.rsplit("day=", 1)[1].split("/")[0]) * 86_400_000
+        store.copy(p, f"{root}/events.{ms + 60_000}.parquet")
+        store.rename(p, f"{root}/events.{ms}.parquet")
+    size = sum(n for _, n, _ in store.files(root))
+    return FileCompactor(spark, root, "events", target_bytes=size // 2, dedup=True, delete_sources=True)
+
+
+FILES_DONE = "SELECT CAST(2 * count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS files_processed, count(*) AS records, count(*) AS duplicates, true AS saves, true AS fewer FROM events"
+
+
+def _result(spark: SparkSession, r: CompactionResult) -> DataFrame:
+    row = (r.files_processed, r.records, r.duplicates_eliminated, r.bytes_saved == r.bytes_in - r.bytes_out > 0, 0 < r.files_created < r.files_processed)
+    return spark.createDataFrame([row], "files_processed long, records long, duplicates long, saves boolean, fewer boolean")
+
+
+@R.add(sql=FILES_DONE)
+def compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """A dry run over loose files, of which half are copies."""
+    return _result(spark, _day_files(spark, sf).plan())
+
+
+@R.add(sql=FILES_DONE)
 def compaction_result(spark: SparkSession, sf: str) -> DataFrame:
-    groups = _day_groups(spark, sf)
-    e = table(spark, sf, "events").withColumn("day", F.to_date("ts")).join(groups.select("day", "grp"), "day")
-    rows = e.groupBy("grp", "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col(KEY) % 97).alias("kept"))
-    out = rows.groupBy("grp").agg(F.sum("n").alias("rows_in"), F.count(F.lit(1)).alias("records"), F.sum("kept").alias("bytes_out"))
-    files = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
-    return out.join(files, "grp").select("grp", "n_files", "records", (F.col("rows_in") - F.col("records")).alias("duplicates"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - F.col("bytes_out")).alias("bytes_saved"))
+    return _result(spark, _day_files(spark, sf).run())
+
+
+@R.add(sql="SELECT * FROM events")
+def compact_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Loose files compacted without copies by a run that dies before its outputs have their names; the next run finishes it."""
+    job = _day_files(spark, sf)
+    finish = FileCompactor._finish
+
+    def dies(*_: object) -> list[str]:
+        raise OSError("the process dies")
+
+    try:
+        FileCompactor._finish = dies
+        job.run()
+    except OSError:
+        pass
+    finally:
+        FileCompactor._finish = finish
+    job.run()
+    return read(spark, [f.key for f in list_files(spark, job.root, "events")])
 
 
 @R.add(sql="SELECT * FROM events")
@@ -395,10 +492,17 @@ def array_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(sql="SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS entries FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def map_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """A map column of a table in three appends, in which keys come in another order; equal maps are one row."""
     e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    m = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    entries = F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
-    return m.select("user_id", F.array_join(entries, ",").alias("entries"))
+    by = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    m = e.groupBy("user_id").agg(by.alias("e"))
+    s = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("m", T.MapType(T.StringType(), T.LongType()))])
+    t = _catalog(spark).create(TableConfig(TableSchema(s, namespace="q", table="t")))
+    for entries in (F.col("e"), F.reverse("e"), F.shuffle("e")):
+        t.append(m.select("user_id", F.map_from_entries(entries).alias("m")))
+    one = dedup.first_rows(t.scan())
+    entries = F.transform(dedup.comparable(F.col("m"), s["m"].dataType), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return one.select("user_id", F.array_join(entries, ",").alias("entries"))
 
 
 # -- branches
@@ -452,10 +556,20 @@ def rotate_by_rows(spark: SparkSession, sf: str) -> DataFrame:
     return file_ordinals(table(spark, sf, "events"), [KEY], Rotation(max_rows=100, batch_rows=50)).select(KEY, "file_no")
 
 
-@R.add(sql="SELECT CAST(epoch_us(ts) // 180000000 AS BIGINT) AS turn, count(*) AS n FROM events GROUP BY 1")
+@R.add(sql="""WITH RECURSIVE o AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events), d AS (SELECT ts, min(i) AS i FROM o GROUP BY ts),
+ends AS (SELECT o.i, d.i AS stop FROM o ASOF LEFT JOIN d ON o.ts + INTERVAL 1 DAY <= d.ts),
+f AS (SELECT CAST(0 AS BIGINT) AS file_no, i AS a, stop AS b FROM ends WHERE i = 1 UNION ALL SELECT f.file_no + 1, e.i, e.stop FROM f JOIN ends e ON e.i = f.b + 1)
+SELECT file_no, CAST(coalesce(b, (SELECT count(*) FROM o)) - a + 1 AS BIGINT) AS n FROM f""")
 def rotate_by_time(spark: SparkSession, sf: str) -> DataFrame:
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    return table(spark, sf, "events").groupBy(F.floor(micros / 180_000_000).cast("long").alias("turn")).agg(F.count(F.lit(1)).alias("n"))
+    """Events in order of time through a row sink whose clock is theirs: a file is rotated once a row is a day after its first."""
+    e, now = table(spark, sf, "events"), [0.0]
+    sink = ParquetSink(shared_path(spark, "turns").removeprefix("file:"), "events", e.schema, Rotation(10**9, 1 << 40, 86_400.0, 1), clock=lambda: now[0])
+    seconds = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6).alias("s")
+    for r in e.select("*", seconds).orderBy("ts", KEY).toLocalIterator():
+        now[0] = r["s"]
+        sink.write({c: r[c] for c in e.columns})
+    paths = sink.commit()
+    return read(spark, paths, ordered=True).groupBy(F.col("file_no").cast("long").alias("file_no")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add(sql="SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -469,21 +583,82 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sink.commit())
 
 
-@R.add(sql="SELECT * FROM events WHERE event_id % 2 = 0")
+@R.add(sql="SELECT * FROM events")
 def wal_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    """A process dies after its commit and before its record is removed; two more recover: the rows are there once."""
+    """One process dies after its commit and before its record is removed, one before its commit; two more recover: rows are there once."""
     e = table(spark, sf, "events")
     t = _catalog(spark).create(TableConfig(_schema(e)))
-    wal = shared_path(spark, "wal").removeprefix("file:")
+    wal = shared_path(spark, "wal")
     sink = LakeSink(t, "events", wal)
-    entries = t.write_files(e.where("event_id % 2 = 0"))
-    sink.wal.record("events", t.location, "main", entries)
-    t.commit_files(entries)
+    done, left = (t.write_files(e.where(c)) for c in ("event_id % 2 = 0", "event_id % 2 <> 0 OR event_id IS NULL"))
+    sink.wal.record("events", t.location, "main", done)
+    t.commit_files(done)
+    sink.wal.record("events", t.location, "main", left)
     LakeSink(t, "events", wal)
     LakeSink(t, "events", wal)
     return t.scan()
 
 
+@R.add(sql="SELECT * FROM events")
+def wap_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits by a branch whose process dies before it, and between it and publishing; the next process takes both up."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e), wap=True))
+    wal = shared_path(spark, "wal")
+    sink = LakeSink(t, "events", wal, wap=True)
+    for name, c in (("one", "event_id % 2 = 0"), ("two", "event_id % 2 <> 0 OR event_id IS NULL")):
+        entries = t.write_files(e.where(c))
+        sink.wal.record("events", t.location, f"wap-{name}", entries, name, True)
+        if name == "one":
+            WapTransaction(t, name).commit(entries)
+        LakeSink(t, "events", wal, wap=True)
+    return t.scan()
+
+
+@R.add(sql="SELECT * FROM events")
+def sink_rows_to_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows one by one to a table: rotated by size, some rolled back and written again, committed by batches in the background."""
+    e = table(spark, sf, "events")
+    t = _catalog(spark).create(TableConfig(_schema(e)))
+    sink = LakeSink(t, "events", shared_path(spark, "wal"), Rotation(max_bytes=2 << 20, batch_rows=5000))
+    sink.write_all(e.where(F.pmod(F.col(KEY), F.lit(10)) == 0).toLocalIterator())
+    sink.rollback()
+    sink.write_all(e.toLocalIterator())
+    sink.close()
+    return t.scan()
+
+
+@R.add(sql="SELECT count(*) AS n, true AS compacted FROM events")
+def compaction_scheduler(spark: SparkSession, sf: str) -> DataFrame:
+    """Two turns after six appends: the first compacts, the second has nothing to do."""
+    t, _ = _events(spark, sf, 6)
+    s = Scheduler(t)
+    s.turn()
+    s.turn()
+    ok = not s.errors and [r.files_in > r.files_out for r in s.results] == [True]
+    return t.scan().agg(F.count(F.lit(1)).alias("n"), F.lit(ok).alias("compacted"))
+
+
+@R.add(sql="SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def sink_recovers_and_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """A row sink dies with files closed and not committed; the next one takes them up, and what is finished goes to the store."""
+    df = table(spark, sf, "supplier")
+    local, target = tempfile.mkdtemp(prefix="lakemill-sink-"), shared_path(spark, "uploaded")
+    try:
+        dies = ParquetSink(local, "supplier", df.schema, Rotation(max_rows=40, batch_rows=10))
+        dies.write_all(df.toLocalIterator())
+        dies.flush()
+        dies._close()
+        paths = [str(p) for p in ParquetSink(local, "supplier", df.schema, auto_commit=True).recovered]
+        up = FileUpload(spark, target)
+        for p in paths:
+            up.submit(p)
+        up.drain()
+        return read(spark, [f.key for f in list_files(spark, target, "supplier")])
+    finally:
+        shutil.rmtree(local, ignore_errors=True)
+
+
 # -- pollers
 
 

@@ -271,6 +271,16 @@ def p7_lifespans(spark: SparkSession, sf: str) -> DataFrame:
     return drift.lifespans(_feet(spark, sf), drift.files_in_order(table(spark, sf, "raw_record")))
 
 
+@R.add(sql=f"""WITH {FIELDS}, cells AS (SELECT record_id, a.canonical_name, max(json_type(payload, '$."' || a.column_name || '"') <> 'NULL') AS has FROM good JOIN raw_record USING (file_key, payload) CROSS JOIN (SELECT DISTINCT canonical_name, column_name FROM column_alias WHERE column_name IS NOT NULL AND canonical_name IS NOT NULL) a WHERE ok GROUP BY ALL)
+SELECT canonical_name, count(DISTINCT CASE WHEN has THEN record_id END) AS n_values FROM cells GROUP BY 1""")
+def p7_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records have a value in each column of the one table: no alias and no form of a value is lost."""
+    x = p7_table(spark, sf)
+    names = [c for c in x.columns if c not in ("record_id", "file_key", "whole", "other")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("canonical_name"), F.col(f"`{n}`").isNotNull().alias("has")) for n in names]))
+    return x.where("whole").select(each.alias("x")).groupBy("x.canonical_name").agg(F.count(F.when(F.col("x.has"), 1)).alias("n_values"))
+
+
 @R.add()
 def p7_table(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "raw_record")

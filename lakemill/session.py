@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is named, in local mode.
+
+    On a cluster executors don't share a machine's temporary folder, so there it is an error that none is named.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakemill-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Any, TypeVar
 
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.naming import FileMeta, NameError_
 from lakemill.sources.storage import Storage
+from lakemill.stats import counters
 
 #: A Parquet file has at least its two magic numbers and a footer length.
 SMALLEST = 12
@@ -78,13 +83,71 @@ def check_sizes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
         return {p: why for p, why in zip(paths, pool.map(one, paths), strict=True) if why}
 
 
-def read(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, strict: bool = True, ordered: bool = False) -> DataFrame:
-    """The rows of Parquet files, one read for all.
+@dataclass(frozen=True)
+class Footer:
+    """What a file's footer says; ``error`` says why it can't be read."""
+
+    rows: int = 0
+    schema: pa.Schema | None = None
+    error: str | None = None
+
+
+def _footer(path: str, length: int | None, source: Any) -> Footer:
+    if length is None:
+        return Footer(error="missing")
+    if length < SMALLEST:
+        return Footer(error="too short" if length else "empty")
+    try:
+        f = pq.ParquetFile(source())
+        return Footer(f.metadata.num_rows, f.schema_arrow)
+    except (pa.ArrowException, OSError) as e:
+        return Footer(error=f"no footer: {e}"[:300])
+
+
+def local_path(path: str) -> str | None:
+    """The path on a local disk; None for other stores."""
+    return path if path.startswith("/") else "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else None
+
+
+def footers(spark: SparkSession, paths: list[str], on_driver: int = 256) -> dict[str, Footer]:
+    """path -> footer, each file opened once: on the driver by threads, of more than ``on_driver`` files on local disks by a job.
+
+    Other stores are read through Hadoop's file systems, which only the driver reaches.
+    """
+    local = [local_path(p) for p in paths]
+    if len(paths) <= on_driver or None in local:
+        store = Storage(spark)
+
+        def one(path: str) -> Footer:
+            at = local_path(path)
+            if at is not None:
+                return _footer(path, os.path.getsize(at) if os.path.exists(at) else None, lambda: at)
+            return _footer(path, store.length(path), lambda: store.open(path))
+
+        with ThreadPoolExecutor(16) as pool:
+            return dict(zip(paths, pool.map(one, paths), strict=True))
+
+    def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [_footer(p, os.path.getsize(p) if os.path.exists(p) else None, lambda p=p: p) for p in f["at"]]
+            yield pd.DataFrame({"path": f["path"], "rows": [g.rows for g in got], "schema": [g.schema.serialize().to_pybytes() if g.schema is not None else None for g in got], "error": [g.error for g in got]})
+
+    df = spark.createDataFrame(list(zip(paths, local, strict=True)), "path string, at string").repartition(max(1, len(paths) // 64))
+    got = df.mapInPandas(some, "path string, rows long, schema binary, error string").collect()  # one row per file
+    return {r["path"]: Footer(r["rows"], pa.ipc.read_schema(pa.py_buffer(r["schema"])) if r["schema"] is not None else None, r["error"]) for r in got}
+
+
+def read(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, strict: bool = True, ordered: bool = False, checked: bool = False) -> DataFrame:
+    """The rows of Parquet files, one read for all. ``checked``: the files are known to be good.
 
     ``strict``: missing, empty or cut files are an error, else they are left out. ``ordered`` adds ``file_no`` and
     ``row_no``, the order of the list and of rows within a file. No paths: no rows, and ``schema`` is needed.
     """
-    bad = check_sizes(spark, paths)
+    with counters.timed("source.seconds"):
+        bad = {} if checked else check_sizes(spark, paths)
+    counters.add("source.files", len(paths) - len(bad))
+    if bad:
+        counters.add("source.errors", len(bad))
     if bad and strict:
         raise BadParquet("; ".join(f"{p}: {why}" for p, why in bad.items()))
     good = [p for p in paths if p not in bad]
@@ -110,17 +173,23 @@ def _plain(uri: str) -> str:
 
 
 def raw_bytes(spark: SparkSession, path: str) -> bytes:
-    return Storage(spark).read_bytes(path)
+    data = Storage(spark).read_bytes(path)
+    counters.add("source.bytes", len(data))
+    return data
 
 
 def items(df: DataFrame, make: type[Item]) -> list[Item]:
     """All rows as objects of a class: for results of known size."""
-    return [make(**r.asDict(recursive=True)) for r in df.collect()]
+    got = [make(**r.asDict(recursive=True)) for r in df.collect()]
+    counters.add("source.rows", len(got))
+    return got
 
 
 def stream_items(df: DataFrame, make: type[Item]) -> Iterator[Item]:
     """Rows as objects, one partition in memory at a time."""
-    return (make(**r.asDict(recursive=True)) for r in df.toLocalIterator())
+    for r in df.toLocalIterator():
+        counters.add("source.rows")
+        yield make(**r.asDict(recursive=True))
 
 
 def from_arrow(spark: SparkSession, source: Any) -> DataFrame:

@@ -46,6 +46,7 @@ class FileUpload:
                     raise
                 time.sleep(self.wait)
         os.unlink(path)
+        counters.add("upload.files")
         counters.add("upload.bytes", size)
         return dest
 

@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What is counted, by whom: pollers, uploads, sources and sinks. Times are seconds.
+NAMES = (
+    "poller.latency", "poller.latest_ms", "poller.files", "upload.seconds", "upload.files", "upload.bytes",
+    "source.files", "source.rows", "source.errors", "source.seconds", "source.bytes", "sink.records", "sink.errors", "sink.rotations", "sink.batch_rows",
+)
+
+
 class Counters:
     def __init__(self) -> None:
         self.lock = threading.Lock()

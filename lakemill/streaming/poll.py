@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -134,9 +136,9 @@ class FilePoller:
         again = {k for k, (n, _) in self.failed.items() if n < self.attempts}
         found = [f for f in loose.list_files(self.spark, self.root, self.prefix) if not f.compacted and (f.millis > after or f.key in again)]
         if mine is not None and found:
-            since = min(after, *[f.millis - 1 for f in found])  # the files of the window, and back to the first that is tried again
-            done = {r[0] for r in mine.where(F.unix_millis("file_timestamp") > since).select("file_name").collect()}
-            found = [f for f in found if f.key not in done]
+            listing = self.spark.createDataFrame([(self.process, f.key) for f in found], "process_name string, file_name string")
+            new = {r["file_name"] for r in unprocessed(listing, mine).collect()}  # of the listing, not of the state
+            found = [f for f in found if f.key in new]
         bad = loose.check_sizes(self.spark, [f.key for f in found])
         good, parts, tried = [], [], []
         for f in found:
@@ -153,6 +155,8 @@ class FilePoller:
                 good.append(f)
                 self.failed.pop(f.key, None)
                 counters.add("poller.files", 1, self.process)
+                counters.set("poller.latest_ms", f.millis, self.process)
+                counters.set("poller.latency", now_ms / 1000 - f.millis / 1000, self.process)
             except Exception as e:
                 self.failed[f.key] = (tries + 1, str(e)[:300])
         if tried:
@@ -224,3 +228,22 @@ class SnapshotPoller:
         while (d := self.poll()) is not None:
             yield d
             d.ack()
+
+    def run(self, handle: Callable[[Delta], None], stop, every: float = POLL_S, timeout: float = 30.0) -> None:  # noqa: ANN001 (a threading.Event)
+        """Hands each delta to ``handle``, which acknowledges it once it is safe, until ``stop`` is set.
+
+        A delta that isn't acknowledged comes again after ``every`` seconds. One that ``handle`` holds for longer than
+        ``timeout`` ends the run with ``TimeoutError``; it stays unacknowledged, so the next run gives it again.
+        """
+        pool = ThreadPoolExecutor(1)
+        try:
+            while not stop.is_set():
+                d = self.poll()
+                if d is not None:
+                    pool.submit(handle, d).result(timeout)
+                if d is None or not d.acked:
+                    stop.wait(every)
+        except FutureTimeout:
+            raise TimeoutError(f"a delta was held for more than {timeout} s") from None
+        finally:
+            pool.shutdown(wait=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -15,7 +16,7 @@ from typing import Any, Protocol
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +26,7 @@ from lakemill.plans.log import FileEntry
 from lakemill.plans.table import LakeTable
 from lakemill.plans.wap import WapTransaction
 from lakemill.sources.files import check_codec
+from lakemill.sources.storage import Storage
 from lakemill.stats import counters
 
 
@@ -55,25 +57,67 @@ class Rotation:
         return "time" if age >= self.max_seconds else None
 
 
+def _plain(row: Any) -> dict:
+    return row if isinstance(row, dict) else row.asDict() if hasattr(row, "asDict") else dataclasses.asdict(row)
+
+
 def file_ordinals(df: DataFrame, order: list[str], rotation: Rotation, slice_col: str | None = None) -> DataFrame:
-    """The file each row of a stream would go to: ``file_no`` by row count, at batch granularity. Ordered by unique ``order``."""
-    from lakemill.operators.ordered import Scan, scan
+    """The file each row of a stream would go to: ``file_no`` by row count, at batch granularity. Ordered by unique ``order``.
 
+    Slices of the first column are counted, and their counts added up in two steps: over spans of so many slices, and over one
+    row per span; rows are only numbered within their slice.
+    """
     per = -(-rotation.max_rows // rotation.batch_rows) * rotation.batch_rows
-    x = df.withColumn("__one", F.lit(1).cast("long")).withColumn("__key", F.lit(0)).withColumn("__slice", F.floor(F.col(slice_col or order[0]) / per))
-    x = scan(x, ["__key"], "__slice", order, [Scan("__n", "__one", "sum", "before")])
-    return x.withColumn("file_no", F.floor(F.col("__n") / per).cast("long")).drop("__one", "__key", "__slice", "__n")
+    x = df.withColumn("__slice", F.floor(F.col(slice_col or order[0]) / per))
+    counts = x.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n")).withColumn("__span", F.floor(F.col("__slice") / SPAN))
+    spans = counts.groupBy("__span").agg(F.sum("__n").alias("__all"))
+    earlier = Window.orderBy(F.col("__span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row per SPAN slices
+    spans = spans.select(F.col("__span").alias("__of"), F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__span").orderBy(F.col("__slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.join(spans, F.col("__span").eqNullSafe(F.col("__of"))).select(F.col("__slice").alias("__at"), (F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0))).alias("__base"))
+    n = F.row_number().over(Window.partitionBy("__slice").orderBy(*order)) - 1
+    return x.join(base, F.col("__slice").eqNullSafe(F.col("__at"))).withColumn("file_no", F.floor((F.col("__base") + n) / per).cast("long")).drop("__slice", "__at", "__base")
+
+
+#: Slices whose counts are added up together.
+SPAN = 4096
+
+
+class Ticker:
+    """Calls ``fn`` every ``period`` seconds in the background until stopped; what it raises is kept and raised by ``stop``."""
+
+    def __init__(self, period: float, fn: Callable[[], None]) -> None:
+        self.fn, self.period, self.ended, self.error = fn, period, threading.Event(), None
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.period):
+            try:
+                self.fn()
+            except Exception as e:
+                self.error = e
+                return
+
+    def stop(self) -> None:
+        self.ended.set()
+        self.thread.join()
+        if self.error is not None:
+            raise self.error
 
 
 class ParquetSink:
     """Rows to rotated files ``prefix.millis.parquet``: written aside, staged when closed, in place when committed.
 
     ``recover`` at start: complete staged files of this prefix are committed if ``auto_commit`` and otherwise deleted, files
-    without a footer are deleted, files of other prefixes are left alone.
+    without a footer are deleted, files of other prefixes are left alone. The folders are this process's own disk, from which
+    ``sources.upload`` takes finished files to a store. Every ``check_seconds`` a full or old file is rotated also when no row
+    comes.
     """
 
-    def __init__(self, target: str, prefix: str, schema: T.StructType | pa.Schema, rotation: Rotation = Rotation(), staging: str | None = None, codec: str = "snappy", row_group: int = 10_000, auto_commit: bool = False, clock: Callable[[], float] = time.time) -> None:
+    def __init__(self, target: str, prefix: str, schema: T.StructType | pa.Schema, rotation: Rotation = Rotation(), staging: str | None = None, codec: str = "snappy", row_group: int = 10_000, auto_commit: bool = False, clock: Callable[[], float] = time.time, check_seconds: float | None = None) -> None:
         FileMeta.name(prefix, 0)
+        self.lock = threading.RLock()
         self.target, self.prefix, self.rotation, self.clock = Path(target), prefix, rotation, clock
         self.schema = schema if isinstance(schema, pa.Schema) else to_arrow_schema(schema)
         self.staging = Path(staging) if staging else self.target / "_staging"
@@ -84,7 +128,8 @@ class ParquetSink:
         self.open: pq.ParquetWriter | None = None
         self.staged: list[Path] = []
         self.closed, self.rotations, self._last = False, [], 0
-        self.recover()
+        self.recovered = self.recover()
+        self.ticker = Ticker(check_seconds, self._tick) if check_seconds else None
 
     def _name(self) -> str:
         self._last = max(int(self.clock() * 1000), self._last + 1)
@@ -113,10 +158,16 @@ class ParquetSink:
     def write(self, row: Any) -> None:
         if self.closed:
             raise SinkClosed(self.prefix)
-        self.buffer.append(row if isinstance(row, dict) else row.asDict() if hasattr(row, "asDict") else dataclasses.asdict(row))
-        if len(self.buffer) >= self.rotation.batch_rows:
+        with self.lock:
+            self.buffer.append(_plain(row))
+            if len(self.buffer) >= self.rotation.batch_rows:
+                self.flush()
+            self.rotate_if_due()
+
+    def _tick(self) -> None:
+        with self.lock:
             self.flush()
-        self.rotate_if_due()
+            self.rotate_if_due()
 
     def write_all(self, rows: Iterable[Any]) -> None:
         for r in rows:
@@ -129,10 +180,15 @@ class ParquetSink:
             self.path = self.staging / (self._name() + ".tmp")
             self.open = pq.ParquetWriter(self.path, self.schema, compression=self.codec, write_page_index=True)
             self.rows, self.bytes, self.began = 0, 0, self.clock()
-        t = pa.Table.from_pylist(self.buffer, self.schema)
-        self.open.write_table(t, self.row_group)
+        try:
+            t = pa.Table.from_pylist(self.buffer, self.schema)
+            self.open.write_table(t, self.row_group)
+        except Exception:
+            counters.add("sink.errors", 1, self.prefix)
+            raise
         self.rows, self.bytes, self.buffer = self.rows + len(t), self.bytes + t.nbytes, []
         counters.add("sink.records", len(t), self.prefix)
+        counters.add("sink.batch_rows", len(t), self.prefix)
 
     def rotate_if_due(self) -> None:
         if self.open is not None and (why := self.rotation.reason(self.rows, self.bytes, self.clock() - self.began)):
@@ -153,26 +209,30 @@ class ParquetSink:
 
     def commit(self) -> list[str]:
         """Closes and publishes what was written; the paths."""
-        self.flush()
-        self._close()
-        out = []
-        for p in self.staged:
-            os.replace(p, self.target / p.name)
-            out.append(str(self.target / p.name))
-        self.staged = []
-        return out
+        with self.lock:
+            self.flush()
+            self._close()
+            out = []
+            for p in self.staged:
+                os.replace(p, self.target / p.name)
+                out.append(str(self.target / p.name))
+            self.staged = []
+            return out
 
     def rollback(self) -> list[str]:
         """Discards what was not committed; the paths that were."""
-        self.buffer = []
-        self._close()
-        out = [str(p) for p in self.staged]
-        for p in self.staged:
-            p.unlink(missing_ok=True)
-        self.staged = []
-        return out
+        with self.lock:
+            self.buffer = []
+            self._close()
+            out = [str(p) for p in self.staged]
+            for p in self.staged:
+                p.unlink(missing_ok=True)
+            self.staged = []
+            return out
 
     def close(self) -> list[str]:
+        if self.ticker is not None:
+            self.ticker.stop()
         out = self.commit() if self.auto_commit else (self.flush(), self._close(), [str(p) for p in self.staged])[2]
         self.closed = True
         return out
@@ -184,48 +244,55 @@ def write_files(df: DataFrame, target: str, max_rows: int = 100_000, codec: str
 
 
 class Wal:
-    """Write-ahead records of table commits: one file each, with the label as a field."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
-
-    def record(self, label: str, location: str, branch: str, entries: list[FileEntry]) -> Path:
-        p = self.folder / f"{uuid.uuid4().hex}.wal"
-        tmp = p.with_suffix(".tmp")
-        with tmp.open("w") as f:
-            f.write("\n".join(json.dumps(x, default=str) for x in [{"label": label, "table": location, "branch": branch}, *map(dataclasses.asdict, entries)]))
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, p)
+    """Write-ahead records of table commits in a folder of any store: one file each, with the label as a field."""
+
+    def __init__(self, storage: Storage, folder: str) -> None:
+        self.storage, self.folder = storage, folder.rstrip("/")
+
+    def record(self, label: str, location: str, branch: str, entries: list[FileEntry], wap_id: str | None = None, publish: bool = False) -> str:
+        p = f"{self.folder}/{uuid.uuid4().hex}.wal"
+        head = {"label": label, "table": location, "branch": branch, "wap_id": wap_id, "publish": publish}
+        self.storage.create(p, "\n".join(json.dumps(x, default=str) for x in [head, *map(dataclasses.asdict, entries)]))
         return p
 
-    def pending(self, label: str) -> list[tuple[Path, dict, list[FileEntry]]]:
+    def done(self, record: str) -> None:
+        self.storage.delete(record)
+
+    def pending(self, label: str) -> list[tuple[str, dict, list[FileEntry]]]:
         out = []
-        for p in sorted(self.folder.glob("*.wal")):
-            head, *rest = [json.loads(x) for x in p.read_text().split("\n")]
-            if head["label"] == label:
-                out.append((p, head, [FileEntry(**e) for e in rest]))
+        for name in self.storage.names(self.folder):
+            if name.endswith(".wal") and not name.startswith("."):
+                p = f"{self.folder}/{name}"
+                head, *rest = [json.loads(x) for x in self.storage.read(p).split("\n")]
+                if head["label"] == label:
+                    out.append((p, head, [FileEntry(**e) for e in rest]))
         return out
 
 
 class LakeSink:
     """Rows or DataFrames to a table: buffered, written as files, recorded, and committed in the background in order.
 
-    With ``wap`` commits go through a branch and, if ``auto_publish``, on to main. ``commit`` raises what a background commit
-    failed with. ``recover`` commits what a dead process had recorded, but no file twice.
+    Rows are measured by batches. At ``rotation``'s rows, bytes or age they are committed with ``auto_commit``; without it they
+    are written as files that wait for ``commit``, so the buffer stays bounded. Every ``check_seconds`` age counts also when no
+    row comes. With ``wap`` commits go through a branch and, if ``auto_publish``, on to main. ``commit`` raises what a background
+    commit failed with. ``recover`` commits what a dead process had recorded, but no file twice, also by its branch.
     """
 
-    def __init__(self, table: LakeTable, label: str, wal: str, rotation: Rotation = Rotation(), max_pending: int = 3, wap: bool = False, auto_publish: bool = True, auto_commit: bool = False) -> None:
-        self.table, self.label, self.wal, self.rotation = table, label, Wal(wal), rotation
+    def __init__(self, table: LakeTable, label: str, wal: str, rotation: Rotation = Rotation(), max_pending: int = 3, wap: bool = False, auto_publish: bool = True, auto_commit: bool = False, clock: Callable[[], float] = time.time, check_seconds: float | None = None) -> None:
+        self.table, self.label, self.wal, self.rotation, self.clock = table, label, Wal(table.storage, wal), rotation, clock
         self.wap, self.auto_publish, self.auto_commit = wap, auto_publish, auto_commit
         self.max_pending = max(1, max_pending)
         self.pool = ThreadPoolExecutor(1)
+        self.lock = threading.RLock()
         self.jobs: list[Future] = []
         self.rows: list[Any] = []
-        self.began = time.time()
+        self.batches: list[pa.Table] = []
+        self.staged: list[FileEntry] = []
+        self.rotations: list[str] = []
+        self.began = clock()
         self.unpublished: list[WapTransaction] = []
         self.recover()
+        self.ticker = Ticker(check_seconds, self.rotate_if_due) if check_seconds else None
 
     def recover(self) -> int:
         """The number of recorded commits that had not been made."""
@@ -233,6 +300,10 @@ class LakeSink:
         for p, head, entries in self.wal.pending(self.label):
             if head["table"] != self.table.location:
                 continue
+            if head.get("wap_id"):
+                made += self._resume(head, entries)
+                self.wal.done(p)
+                continue
             known = self.table.has_files([e.path for e in entries])
             left = [e for e in entries if e.path not in known and self.table.storage.exists(e.path)]
             if left:
@@ -241,52 +312,102 @@ class LakeSink:
                     self.table.create_branch(branch)
                 self.table.commit_files(left, branch if branch in self.table.metadata().refs else "main")
                 made += 1
-            p.unlink()
+            self.wal.done(p)
         return made
 
+    def _resume(self, head: dict, entries: list[FileEntry]) -> int:
+        """Takes a branch's commit up where the dead process left it: files not committed, or committed and not published."""
+        tx, before = WapTransaction(self.table, head["wap_id"], head["branch"]), ""
+        if tx.state == "writer":
+            tx.commit([e for e in entries if self.table.storage.exists(e.path)])
+            before = "writer"
+        if tx.state == "publisher":
+            if head["publish"]:
+                tx.publish()
+                before = before or "publisher"
+            else:
+                self.unpublished.append(tx)
+        return int(bool(before))
+
     def write(self, row: Any) -> None:
-        self.rows.append(row)
-        if self.auto_commit and self.rotation.reason(len(self.rows), 0, time.time() - self.began):
-            self.commit(wait=False)
+        with self.lock:
+            self.rows.append(_plain(row))
+            if len(self.rows) >= self.rotation.batch_rows:
+                self._measure()
+            self.rotate_if_due()
 
     def write_all(self, rows: Iterable[Any]) -> None:
         for r in rows:
             self.write(r)
 
+    def _schema(self) -> T.StructType:
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in self.table.metadata().struct()])
+
+    def _measure(self) -> None:
+        """Packs the buffered rows, whose size is known then."""
+        if self.rows:
+            try:
+                self.batches.append(self.table.spark.createDataFrame(self.rows, self._schema()).toArrow())
+            except Exception:
+                counters.add("sink.errors", 1, self.label)
+                raise
+            counters.add("sink.batch_rows", len(self.rows), self.label)
+            self.rows = []
+
+    def rotate_if_due(self) -> None:
+        with self.lock:
+            held = sum(len(b) for b in self.batches) + len(self.rows)
+            why = self.rotation.reason(held, sum(b.nbytes for b in self.batches), self.clock() - self.began) if held else None
+            if not why:
+                return
+            self.rotations.append(why)
+            counters.add("sink.rotations", 1, self.label)
+            if self.auto_commit:
+                self.commit(wait=False)
+            else:
+                self.staged += self.table.write_files(self._frame())
+                self.began = self.clock()
+
     def _frame(self) -> DataFrame:
-        plain = [r if isinstance(r, dict) else r.asDict() if hasattr(r, "asDict") else dataclasses.asdict(r) for r in self.rows]
-        return self.table.spark.createDataFrame(plain, T.StructType([T.StructField(f.name, f.dataType, True) for f in self.table.metadata().struct()]))
+        self._measure()
+        whole, self.batches = pa.concat_tables(self.batches), []
+        counters.add("sink.records", len(whole), self.label)
+        return self.table.spark.createDataFrame(whole, self._schema())
 
     def commit(self, wait: bool = True) -> list[str]:
         """The paths of the files written; with ``wait``, once they are committed."""
-        df = self._frame() if self.rows else None
-        paths = self.commit_frame(df, wait) if df is not None else []
-        self.rows, self.began = [], time.time()
-        if wait:
-            self.drain()
-        return paths
+        with self.lock:
+            entries, self.staged = self.staged, []
+            if self.rows or self.batches:
+                entries = entries + self.table.write_files(self._frame())
+            self.began = self.clock()
+            return self._commit(entries, wait)
 
     def commit_frame(self, df: DataFrame, wait: bool = True) -> list[str]:
-        if self.wap:
-            tx = WapTransaction(self.table, uuid.uuid4().hex)
-            tx.write(df)
-            if self.auto_publish:
-                tx.publish()
-            else:
-                self.unpublished.append(tx)
-            return []
-        entries = self.table.write_files(df)
-        if not entries:
-            return []
-        record = self.wal.record(self.label, self.table.location, "main", entries)
-        while len([j for j in self.jobs if not j.done()]) >= self.max_pending:
-            next(j for j in self.jobs if not j.done()).result()
-
-        def job() -> None:
-            self.table.commit_files(entries)
-            record.unlink()
-
-        self.jobs.append(self.pool.submit(job))
+        with self.lock:
+            return self._commit(self.table.write_files(df), wait)
+
+    def _commit(self, entries: list[FileEntry], wait: bool) -> list[str]:
+        if entries:
+            wap_id = uuid.uuid4().hex if self.wap else None
+            branch = f"wap-{wap_id}" if wap_id else "main"
+            record = self.wal.record(self.label, self.table.location, branch, entries, wap_id, self.auto_publish)
+            while len([j for j in self.jobs if not j.done()]) >= self.max_pending:
+                next(j for j in self.jobs if not j.done()).result()
+
+            def job() -> None:
+                if wap_id is None:
+                    self.table.commit_files(entries)
+                else:
+                    tx = WapTransaction(self.table, wap_id, branch)
+                    tx.commit(entries)
+                    if self.auto_publish:
+                        tx.publish()
+                    else:
+                        self.unpublished.append(tx)
+                self.wal.done(record)
+
+            self.jobs.append(self.pool.submit(job))
         if wait:
             self.drain()
         return [e.path for e in entries]
@@ -302,10 +423,16 @@ class LakeSink:
         self.unpublished = []
 
     def rollback(self) -> list[str]:
-        self.rows = []
-        return []
+        """Discards what was not committed; the paths of files that had been written."""
+        with self.lock:
+            gone, self.rows, self.batches, self.staged = [e.path for e in self.staged], [], [], []
+            for p in gone:
+                self.table.storage.delete(p)
+            return gone
 
     def close(self) -> None:
+        if self.ticker is not None:
+            self.ticker.stop()
         self.commit()
         self.pool.shutdown()
 

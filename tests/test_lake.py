@@ -4,6 +4,7 @@ import dataclasses
 import json
 import random
 import threading
+import time
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Annotated
@@ -27,8 +28,10 @@ from lakemill.plans.table import Catalog, TableConfig
 from lakemill.plans.wap import WapError, WapTransaction
 from lakemill.settings import Settings
 from lakemill.sources import files as loose
+from lakemill.session import checkpoint_dir
+from lakemill.sources.storage import Storage, UnsupportedStore
 from lakemill.sources.upload import FileUpload
-from lakemill.stats import Counters, observed
+from lakemill.stats import NAMES, Counters, counters, observed
 from lakemill.streaming import poll
 from lakemill.streaming.sink import LakeSink, ParquetSink, Rotation, SinkClosed, file_ordinals, stream_to_table, write_files
 from tests.conftest import rows
@@ -759,3 +762,180 @@ def test_counters(spark):
     df, o = observed(spark.range(7), "n")
     df.collect()
     assert o.get["rows"] == 7
+
+
+# -- stores, bounds, timers
+
+
+@pytest.fixture
+def mounted(spark, tmp_path):
+    """A folder under another Hadoop scheme than that of local disks."""
+    (tmp_path / "disk").mkdir()
+    name = f"lake{random.randrange(10**9)}"  # file systems are cached by name
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./data", f"file://{tmp_path}/disk")
+    return f"viewfs://{name}/data"
+
+
+def test_tables_on_another_store(spark, mounted):
+    c = Catalog(spark, f"{mounted}/w")
+    t = c.create(TableConfig(TableSchema(PAIR, namespace="a", table="t")))
+    with pytest.raises(FileExistsError):
+        c.create(TableConfig(TableSchema(PAIR, namespace="a", table="t")))
+    for i in range(5):
+        t.append(pair(spark, [i, 10 + i]))
+    e = t.log.live(t.metadata(), t.current().id)
+    assert all(x.path.startswith("viewfs:") and x.high["id"] == x.low["id"] + 10 or x.rows == 1 for x in e)
+    assert {p.split(":")[0] for p in t.scan(filters=["id >= 14"]).inputFiles()} == {"viewfs"} and t.scan(filters=["id >= 14"]).count() == 1
+    assert compact_table(t).files_in == len(e) and t.scan().count() == 10
+    sink = LakeSink(t, "s", f"{mounted}/wal")
+    sink.wal.record("s", t.location, "main", t.write_files(pair(spark, [99])))
+    assert LakeSink(t, "s", f"{mounted}/wal").table.scan().count() == 11 and not sink.wal.pending("s")
+
+
+def test_loose_files_on_another_store(spark, mounted, tmp_path):
+    loose_files(spark, tmp_path / "disk" / "in")
+    (tmp_path / "disk" / "in" / "events.5000.parquet").write_bytes(b"PAR1xxxxPAR2")
+    job = FileCompactor(spark, f"{mounted}/in", "events", dedup=True)
+    plan, r = job.plan(), job.run()
+    assert (plan.records, plan.duplicates_eliminated) == (r.records, r.duplicates_eliminated) == (7, 5) and len(r.skipped) == len(plan.skipped) == 1
+    assert plan.bytes_out == r.bytes_out != r.bytes_in and not list((tmp_path / "disk" / "in" / "_compaction").glob("*"))
+    assert loose.read(spark, r.outputs).count() == 7
+
+
+def test_a_store_without_atomic_creation_is_refused(spark, tmp_path, monkeypatch):
+    store = Storage(spark)
+    assert store.create(str(tmp_path / "a" / "x"), "1") and not store.create(str(tmp_path / "a" / "x"), "2")
+    assert store.read(str(tmp_path / "a" / "x")) == "1" and [p.name for p in (tmp_path / "a").iterdir() if "tmp" in p.name and "crc" not in p.name] == []
+    monkeypatch.setattr(Storage, "_scheme", staticmethod(lambda fs: "nowhere"))
+    with pytest.raises(UnsupportedStore):
+        store.create(str(tmp_path / "a" / "y"), "1")
+    assert not (tmp_path / "a" / "y").exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        @staticmethod
+        def getConf():  # noqa: N802
+            return {}
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return type("X", (), {"getCheckpointDir": staticmethod(lambda: type("Y", (), {"isEmpty": staticmethod(lambda: True)}))})
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(type("S", (), {"sparkContext": Context}))
+
+
+def test_footers_by_threads_and_by_a_job(spark, tmp_path):
+    loose_files(spark, tmp_path)
+    (tmp_path / "events.2000.parquet").write_bytes(b"")
+    paths = [str(p) for p in sorted(tmp_path.glob("*.parquet"))] + [str(tmp_path / "missing")]
+    a, b = loose.footers(spark, paths), loose.footers(spark, paths, on_driver=1)
+    assert a == b and [a[p].rows for p in paths] == [2] * 6 + [0, 0] and [a[p].error for p in paths[6:]] == ["empty", "missing"]
+
+
+TYPED = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("n", T.TimestampNTZType()), T.StructField("d", T.DateType()), T.StructField("m", T.DecimalType(10, 2)), T.StructField("s", T.StringType())])
+
+
+@pytest.mark.parametrize("part", [(), (PartitionField("d", Transform.parse("month")),), (PartitionField("id", Transform.parse("bucket[4]")),), (PartitionField("s", Transform.parse("truncate[2]")), PartitionField("n", Transform.parse("day")))], ids=["plain", "month", "bucket", "two"])
+def test_pruned_scans_lose_no_row(spark, catalog, part):
+    t = make(catalog, TYPED, partitions=part)
+    data = [(i, datetime(2024, 1 + i % 3, 1 + i, 12), datetime(2024, 1 + i % 3, 1 + i, 12), date(2024, 1 + i % 3, 1 + i), Decimal(i) / 4, f"name{i:02d}") for i in range(24)] + [(None,) * 6]
+    for k in range(4):
+        t.append(spark.createDataFrame(data[k::4], TYPED))
+    everything = spark.createDataFrame(data, TYPED)
+    fewer = 0
+    for column, values in {"id": ["7", "100"], "ts": ["2024-02-05", "2024-02-05 12:00:00"], "n": ["2024-02-05T12:00:00", "2024-03-30"], "d": ["2024-02-05", "2025-01-01"], "m": ["2.5", "3", "99.25"], "s": ["name07", "zzz"]}.items():
+        for v in values:
+            for op in ("=", "!=", "<", "<=", ">", ">="):
+                df = t.scan(filters=[f"{column} {op} {v}"])
+                assert rows(df, "id") == rows(everything.where(Predicate.parse(f"{column} {op} {v}").expression()), "id"), (column, op, v)
+                fewer += len(df.inputFiles()) < len(t.scan().inputFiles())
+    assert fewer > 30
+
+
+def test_partitions_compact_to_a_target_size(spark, catalog):
+    t = make(catalog, PAIR, partitions=(PartitionField("id", Transform.parse("truncate[1000]")),))
+    for k in range(5):
+        t.append(pair(spark, range(k, 3000, 5)))
+    before = t.files().groupBy("partition").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0]
+    r = compact_table(t, target_bytes=before // 2)
+    assert r.files_in == 15 and 6 <= r.files_out <= 12 and t.scan().count() == 3000
+
+
+def test_sinks_rotate_without_rows(spark, catalog, tmp_path):
+    sink = ParquetSink(str(tmp_path / "out"), "p", pa.schema([("x", pa.int64())]), Rotation(max_seconds=0.05), auto_commit=True, check_seconds=0.02)
+    sink.write({"x": 1})
+    until = time.time() + 20
+    while not list((tmp_path / "out").glob("p.*.parquet")) and time.time() < until:
+        time.sleep(0.02)
+    assert sink.rotations == ["time"] and sink.close() == [] and len(list((tmp_path / "out").glob("p.*.parquet"))) == 1
+    t = make(catalog)
+    lake_sink = LakeSink(t, "s", str(tmp_path / "wal"), Rotation(max_seconds=0.05), auto_commit=True, check_seconds=0.02)
+    lake_sink.write({"id": 1, "name": "a"})
+    while (t.current() is None) and time.time() < until:
+        time.sleep(0.05)
+    lake_sink.close()
+    assert lake_sink.rotations == ["time"] and t.scan().count() == 1
+
+
+def test_lake_sink_counts_bytes_and_rolls_back_files(spark, catalog, tmp_path):
+    t = make(catalog)
+    sink = LakeSink(t, "s", str(tmp_path / "wal"), Rotation(max_bytes=2000, batch_rows=50))
+    sink.write_all({"id": i, "name": "x" * 20} for i in range(300))
+    assert set(sink.rotations) == {"size"} and sink.staged and t.current() is None
+    gone = sink.rollback()
+    assert gone and not any(t.storage.exists(p) for p in gone) and sink.commit() == []
+    sink.write_all({"id": i, "name": "x" * 20} for i in range(300))
+    sink.close()
+    assert t.scan().count() == 300 and len(t.snapshots().collect()) == 1
+
+
+def test_branch_commits_are_taken_up(spark, catalog, tmp_path):
+    t = make(catalog, wap=True)
+    wal = str(tmp_path / "wal")
+    sink = LakeSink(t, "s", wal, wap=True)
+    for wap_id, publish, commits in (("a", True, False), ("b", True, True), ("c", False, False)):
+        entries = t.write_files(pair(spark, [ord(wap_id)]))
+        sink.wal.record("s", t.location, f"wap-{wap_id}", entries, wap_id, publish)
+        if commits:
+            WapTransaction(t, wap_id).commit(entries)
+        last = LakeSink(t, "s", wal, wap=True)
+        assert not last.wal.pending("s")
+    assert rows(t.scan(), "id") == [(ord("a"),), (ord("b"),)]
+    last.publish()
+    assert t.scan().count() == 3
+
+
+def test_a_delta_held_too_long_comes_again(spark, catalog):
+    t = make(catalog)
+    t.append(pair(spark, [1]))
+    p, stop, go = poll.SnapshotPoller(t), threading.Event(), threading.Event()
+    with pytest.raises(TimeoutError):
+        p.run(lambda d: go.wait(10), stop, every=0.01, timeout=0.2)
+    go.set()
+    seen = []
+
+    def take(d):
+        seen.append(d.snapshot.id)
+        if len(seen) == 2:
+            d.ack()
+            stop.set()
+
+    p.run(take, stop, every=0.01)
+    assert seen == [t.current().id] * 2 and p.poll() is None
+
+
+def test_what_is_counted(spark, tmp_path):
+    loose_files(spark, tmp_path)
+    before = {n: v[1] for (n, _), v in counters.values.items()}
+    loose.read(spark, [str(tmp_path / "events.1000.parquet"), str(tmp_path / "gone")], strict=False)
+    list(loose.stream_items(loose.read(spark, [str(tmp_path / "events.1000.parquet")]), lambda **r: r))
+    loose.raw_bytes(spark, str(tmp_path / "events.1000.parquet"))
+    now = {n: v[1] for (n, _), v in counters.values.items()}
+    grown = {n: now[n] - before.get(n, 0) for n in now}
+    assert (grown["source.files"], grown["source.errors"], grown["source.rows"]) == (2, 1, 2) and grown["source.bytes"] > 12 and grown["source.seconds"] > 0
+    assert set(now) <= set(NAMES) | {n for n in before if n not in NAMES}
