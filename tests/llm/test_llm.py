@@ -116,14 +116,14 @@ def test_pack_keeps_everything(spark):
 
 
 def test_a_container_holds_neighbours_of_the_curve(spark):
-    """Three kinds of texts, shuffled: containers hold one kind but at the seams, and items lie close along the curve."""
+    """Three kinds of texts, dealt in turn: items of a container lie close along the curve, and most of them are of one kind."""
     kinds = [["alpha", "beta", "gamma"], ["SELECT", "FROM", "WHERE"], ["漢字", "かな", "カナ"]]
     rng = random.Random(3)
     data = [(i, str(i % 3), " ".join(rng.choice(kinds[i % 3]) for _ in range(30))) for i in range(900)]
     got = pack.pack(docs(spark, data), capacity=600).toPandas()
     got["kind"] = got.doc_id % 3
     g = got.groupby("container_id")
-    assert (g.place.max() - g.place.min()).max() < 96 and (g.kind.nunique() == 1).mean() > 0.8
+    assert (g.place.max() - g.place.min()).max() < 96 and g.kind.agg(lambda k: k.value_counts(normalize=True).max()).mean() > 0.8
 
 
 # -- mixing
