@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,20 +19,18 @@ def first_rows(df: DataFrame, keys: list[str] | None = None, order: list[str] |
 
     Nulls are equal to each other, and so are NaN and 0.0 and -0.0. Without an order the rows of equal keys differ in nothing
     that counts, and plain grouping with a partial aggregate on each task is used; with one, the least row is an
-    aggregate too (a struct of order and row), so a hot key is reduced before it is shuffled.
+    aggregate too (a struct of order and row, maps as their sorted entries), so a hot key is reduced before it is shuffled.
     """
     types = {f.name: f.dataType for f in df.schema}
     keys = keys or [c for c in df.columns if c not in (order or [])]
     if not order and set(keys) == set(df.columns) and not any(isinstance(t, T.MapType) for t in types.values()):
         return df.dropDuplicates()
+    is_map = {c for c in df.columns if isinstance(types[c], T.MapType)}
     named = [comparable(F.col(f"`{k}`"), types[k]).alias(f"__k{i}") for i, k in enumerate(keys)]
-    plain = [c for c in df.columns if not isinstance(types[c], T.MapType)]
-    rank = [c for c in (order or []) if c in plain] + [c for c in plain if c not in (order or [])]
-    if any(isinstance(t, T.MapType) for t in types.values()):
-        w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(*rank)
-        return df.select("*", *named).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", *[f"__k{i}" for i in range(len(keys))])
-    least = F.min(F.struct(*[F.col(f"`{c}`") for c in rank]))
-    return df.groupBy(*named).agg(least.alias("__r")).select(*[F.col(f"__r.`{c}`").alias(c) for c in df.columns])
+    rank = [*(order or []), *(c for c in df.columns if c not in (order or []))]
+    least = F.min(F.struct(*[comparable(F.col(f"`{c}`"), types[c]).alias(c) for c in rank]))
+    value = lambda c: F.map_from_entries(f"__r.`{c}`") if c in is_map else F.col(f"__r.`{c}`")
+    return df.groupBy(*named).agg(least.alias("__r")).select(*[value(c).alias(c) for c in df.columns])
 
 
 def stats(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -37,18 +37,18 @@ def candidates(listing: DataFrame, smallest: int = 12, small: int = 1 << 20, lea
     return files.join(full.drop("n"), ["prefix", "day"], "left_semi").select("key", "prefix", "day", "millis", "size")
 
 
-def plan(files: DataFrame, target: int = 128 << 20, slice_ms: int = 600_000) -> DataFrame:
+def plan(files: DataFrame, target: int = 128 << 20, slice_ms: int = 600_000, ending: str = ".c.parquet") -> DataFrame:
     """Gives each file of ``candidates`` its output: adds ``output_no`` and ``output_key`` within prefix and day.
 
     Files go in order of (millis, key); one belongs to the output in which the bytes before it fall, so outputs are
     between ``target`` less one file and ``target`` plus one file (the last of a day is what is left), and no file is
     lost or taken twice. The running size is a scan over slices of the day, so a hot day is spread. Outputs are named
-    by the time of their last file and their number, so no two share a name.
+    by the time of their last file and their number, so no two share a name, and by ``ending``: what the joined bytes are.
     """
     x = scan(files.withColumn("__slice", F.floor(F.col("millis") / slice_ms)), ["prefix", "day"], "__slice", ["millis", "key"], [Scan("before", "size", "sum", "before")])
     x = x.withColumn("output_no", F.floor(F.col("before") / target).cast("long")).drop("before", "__slice")
     last = x.groupBy("prefix", "day", "output_no").agg(F.max("millis").alias("last_millis"), F.count(F.lit(1)).alias("output_files"), F.sum("size").alias("output_bytes"))
-    name = F.concat_ws("", F.col("prefix"), F.lit("/"), F.lpad(F.col("day").cast("string"), 6, "0"), F.lit("/"), F.col("prefix"), F.lit("."), (F.col("last_millis") + F.col("output_no")).cast("string"), F.lit(".c.parquet"))
+    name = F.concat_ws("", F.col("prefix"), F.lit("/"), F.lpad(F.col("day").cast("string"), 6, "0"), F.lit("/"), F.col("prefix"), F.lit("."), (F.col("last_millis") + F.col("output_no")).cast("string"), F.lit(ending))
     return x.join(last, ["prefix", "day", "output_no"]).withColumn("output_key", name)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -376,6 +377,35 @@ class LakeTable:
     def set_properties(self, values: dict[str, str | None]) -> None:
         self.log.commit(lambda m: dataclasses.replace(m, properties={k: v for k, v in (m.properties | values).items() if v is not None}))
 
+    def expire(self, now_ms: int | None = None) -> list[int]:
+        """Drops old snapshots from the log by the table's properties, so that metadata stays small; the ids dropped.
+
+        A snapshot goes if it is older than ``max_snapshot_age_ms`` (5 days if not set) and not among the newest
+        ``min_snapshots`` (1) of a branch. The oldest that stay get lists of all their files, and none of their rows changes.
+        Data files stay where they are.
+        """
+        gone: list[int] = []
+
+        def change(m: Metadata) -> Metadata | None:
+            age = int(m.properties.get(PROPERTIES["max_snapshot_age_ms"], 5 * 86_400_000))
+            least = max(1, int(m.properties.get(PROPERTIES["min_snapshots"], 1)))
+            oldest = (now_ms if now_ms is not None else int(time.time() * 1000)) - age
+            kept = {s.id for head in m.refs.values() for i, s in enumerate(m.lineage(head)) if i < least or s.timestamp_ms >= oldest}
+            gone[:] = [i for i in m.snapshots if i not in kept]
+            if not gone:
+                return None
+            now = {}
+            for i in kept:
+                s = m.snapshots[i]
+                if s.parent is not None and s.parent not in kept and not s.summary.get("full-list"):
+                    added, removed, _ = self.log.read_manifest(s.manifest)
+                    s = dataclasses.replace(s, manifest=self.log.write_manifest(added, removed, self.log.live(m, i)), summary=s.summary | {"full-list": True})
+                now[i] = s
+            return dataclasses.replace(m, snapshots={i: now[i] for i in m.snapshots if i in now})
+
+        self.log.commit(change)
+        return gone
+
     # -- branches
 
     @staticmethod

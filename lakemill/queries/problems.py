@@ -224,7 +224,7 @@ def p6_concat(spark: SparkSession, sf: str) -> DataFrame:
     files = cut(smallfiles.write_lines(table(spark, sf, "raw_record"), f"{root}/in"))
     key = F.col("key")
     listed = files.select("key", "size", prefix_of(key).alias("prefix"), millis_of(key).alias("millis")).withColumn("day", F.floor(F.col("millis") / (30 * smallfiles.DAY_MS)).cast("long"))
-    planned = cut(smallfiles.plan(listed, target=1 << 20))
+    planned = cut(smallfiles.plan(listed, target=1 << 20, ending=".c.jsonl"))
     report = smallfiles.concatenate(spark, planned, f"{root}/in", f"{root}/out")
     outputs = planned.groupBy("prefix", "day", "output_no", "output_key").agg(F.count(F.lit(1)).alias("n_files"))
     x = outputs.join(report.drop("n_files"), "output_key")

@@ -12,6 +12,8 @@ from typing import Annotated
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -939,3 +941,31 @@ def test_what_is_counted(spark, tmp_path):
     grown = {n: now[n] - before.get(n, 0) for n in now}
     assert (grown["source.files"], grown["source.errors"], grown["source.rows"]) == (2, 1, 2) and grown["source.bytes"] > 12 and grown["source.seconds"] > 0
     assert set(now) <= set(NAMES) | {n for n in before if n not in NAMES}
+
+
+def test_old_snapshots_expire(spark, catalog):
+    t = catalog.create(TableConfig(TableSchema(PAIR, namespace="a.b", table="t"), max_snapshot_age_ms=1000, min_snapshots=2))
+    s = [t.append(pair(spark, [k, 100 + k]).coalesce(1), timestamp_ms=1000 * (k + 1)) for k in range(12)]
+    t.create_branch("b")
+    t.append(pair(spark, [50]), branch="b", timestamp_ms=12_500)
+    before = rows(t.scan()), rows(t.scan(branch="b")), rows(t.scan_range(s[10].id))
+    assert len(t.expire(now_ms=11_000)) == 9 and t.expire(now_ms=11_000) == []
+    assert (rows(t.scan()), rows(t.scan(branch="b")), rows(t.scan_range(s[10].id))) == before and len(t.snapshots().collect()) == 4
+    assert t.scan(snapshot_id=s[10].id).count() == 22 and t.expire(now_ms=10**9) == [s[9].id] == [x.id for x in s[9:10]]
+    with pytest.raises(NoSuchSnapshot):
+        t.scan(snapshot_id=s[3].id)
+    t.append(pair(spark, [13]), timestamp_ms=20_000)
+    assert compact_table(t, min_files=2).files_in == 13 and t.scan().count() == 25 and t.publish_branch  # history goes on
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from([None, {}, {"a": 1}, {"b": 2, "a": 1}, {"a": 1, "b": 2}])), max_size=12))
+def test_first_rows_with_maps(spark, data):
+    df = spark.createDataFrame([(i, k, m) for i, (k, m) in enumerate(data)], "id long, k long, m map<string,int>")
+    seen, want = set(), []
+    for i, (k, m) in enumerate(data):
+        key = k, None if m is None else tuple(sorted(m.items()))
+        if key not in seen:
+            seen.add(key)
+            want.append((i, k, m))
+    assert rows(dedup.first_rows(df, ["k", "m"], ["id"])) == sorted(want, key=repr)
