@@ -316,7 +316,7 @@ class History:
         """
         x = usable(readings).where("reading_id IS NOT NULL").select("sensor", "event_time", "reading_id", F.coalesce("batch_id", F.lit(0)).cast("long").alias("batch_id"))
         # a batch is first de-duplicated in itself
-        batches = stored(x.groupBy("sensor", "event_time", "batch_id").agg(F.min("reading_id").alias("reading_id")), "batches")
+        batches = stored(x.groupBy("sensor", "event_time", "batch_id").agg(F.min("reading_id").alias("reading_id"), F.count(F.lit(1)).alias("n")), "batches")
         n, m = self.version()
         at = F.pmod(F.col("event_time"), F.lit(DAY))
         days = F.explode(F.array_compact(F.array(F.floor(F.col("event_time") / DAY), F.when(at == 0, F.floor(F.col("event_time") / DAY) - 1), F.when(at == DAY - 1, F.floor(F.col("event_time") / DAY) + 1))))
@@ -325,14 +325,14 @@ class History:
             return x.select("reading_id", "sensor", "event_time", "batch_id", F.lit(None).cast("long").alias("kept_id"))
         grown = {str(d): 2 ** max(0, math.ceil(math.log2(k * self.headroom / self.shard_rows))) for d, k in touched.items()} | m["buckets"]
         n_buckets = F.broadcast(self.spark.createDataFrame([(d, grown[str(d)]) for d in touched], "day long, buckets long"))
-        cells = self._cells(batches, n_buckets, True)
+        cells = self._cells(batches.drop("n"), n_buckets, True)
         old = self.segments(list(touched))
         if old is None:
             found = cells.groupBy("day", "bucket").applyInPandas(lambda pdf: _matches(pdf, []), MATCHES)
         else:
             found = cells.groupBy("day", "bucket").cogroup(old.groupBy("day", "bucket")).applyInPandas(lambda new, have: _matches(new, [_load(r) for r in have.itertuples()] if len(new) else []), MATCHES)
         found = stored(found, "matches")
-        seconds = batches.groupBy("sensor", "event_time").agg(F.min("reading_id").alias("first_id"))
+        seconds = batches.groupBy("sensor", "event_time").agg(F.min("reading_id").alias("first_id"), F.sum("n").alias("n"))
         if old is not None:
             before = found.where("old").groupBy("sensor", "event_time").agg(F.min("other_id").alias("old_id"))
             inside = found.where("NOT old").join(before, ["sensor", "event_time"], "left_anti")
@@ -351,7 +351,8 @@ class History:
         status = stored(status, "status")
         self._add(status.where("kept_id IS NULL").select("sensor", "event_time", F.col("first_id").alias("reading_id")), n, m, grown, n_buckets)
         kept = F.when(F.col("reading_id") == F.col("first_id"), F.col("kept_id")).otherwise(F.coalesce("kept_id", "first_id"))
-        return x.join(status, ["sensor", "event_time"]).select("reading_id", "sensor", "event_time", "batch_id", kept.alias("kept_id"))
+        # a second of one reading that is accepted has nothing to tell
+        return x.join(status.where("n > 1 OR kept_id IS NOT NULL"), ["sensor", "event_time"], "left").select("reading_id", "sensor", "event_time", "batch_id", kept.alias("kept_id"))
 
     def _add(self, accepted: DataFrame, n: int, m: dict, buckets: dict, n_buckets: DataFrame) -> None:
         """A new part of accepted readings, with the last parts of each day that are of its level merged into it."""
