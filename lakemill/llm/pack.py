@@ -96,7 +96,7 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY, curve: bool = True
     return documents.select(*columns).mapInArrow(measure, "doc_id long, source string, tokens long" + (", curve_key long" if curve else ""))
 
 
-def fill(sizes: list[int], capacity: int, block: int = 32, reach: int = 64) -> tuple[list[int], int]:
+def fill(sizes: list[int], capacity: int, block: int = 32, reach: int = 96) -> tuple[list[int], int]:
     """The container of each item, and the number of containers. Items must fit; those of size 0 go anywhere.
 
     Items come in order along the curve and are taken in blocks, the largest of a block first, each into the open container it
@@ -121,7 +121,7 @@ def fill(sizes: list[int], capacity: int, block: int = 32, reach: int = 64) -> t
     return where, n
 
 
-def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULARY, range_rows: int = 20_000, block: int = 32, reach: int = 64) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 8192, vocabulary: str = VOCABULARY, range_rows: int = 20_000, block: int = 32, reach: int = 96) -> DataFrame:
     """``container_id, doc_id, piece_no, n_pieces, start_token, tokens, place``: where every part of every document lies.
 
     ``place`` is the document's along the curve; within a container places differ by less than ``reach + block`` (see ``fill``).
@@ -165,7 +165,7 @@ def containers(packed: DataFrame, capacity: int = 8192) -> DataFrame:
     return packed.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_items"), size.alias("tokens"), (F.lit(capacity) - size).alias("free"), (F.max("place") - F.min("place")).alias("spread"))
 
 
-def broken(packed: DataFrame, documents: DataFrame, capacity: int = 8192, reach: int = 96) -> DataFrame:
+def broken(packed: DataFrame, documents: DataFrame, capacity: int = 8192, reach: int = 128) -> DataFrame:
     """One row: documents placed, and how often a rule of packing is broken (0 where all is right).
 
     ``n_over``: containers over capacity; ``n_split``: parts of documents that fit; ``n_lost``: parts missing or placed twice;

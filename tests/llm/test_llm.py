@@ -123,7 +123,7 @@ def test_a_container_holds_neighbours_of_the_curve(spark):
     got = pack.pack(docs(spark, data), capacity=600).toPandas()
     got["kind"] = got.doc_id % 3
     g = got.groupby("container_id")
-    assert (g.place.max() - g.place.min()).max() < 96 and g.kind.agg(lambda k: k.value_counts(normalize=True).max()).mean() > 0.8
+    assert (g.place.max() - g.place.min()).max() < 128 and g.kind.agg(lambda k: k.value_counts(normalize=True).max()).mean() > 0.8
 
 
 # -- mixing
