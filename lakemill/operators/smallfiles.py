@@ -162,7 +162,9 @@ def _store(path: str) -> tuple:
 
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    # tasks reach stores by pyarrow's own clients, which know this scheme by its plain name
+    uri = "s3" + path.removeprefix("s3a") if path.startswith("s3a://") else path
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), path)
 
 
 def concatenate(spark: SparkSession, planned: DataFrame, root: str, out: str, form: str = "lines", header: bool = False) -> DataFrame:

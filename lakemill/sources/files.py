@@ -19,6 +19,8 @@ from lakemill.functions.naming import FileMeta, NameError_
 from lakemill.sources.storage import Storage
 from lakemill.stats import counters
 
+#: So many files are looked at on the driver; more on local disks by a job.
+MANY = 256
 #: A Parquet file has at least its two magic numbers and a footer length.
 SMALLEST = 12
 CODECS = ("snappy", "gzip", "lz4", "lz4_raw", "zstd", "uncompressed")
@@ -60,7 +62,9 @@ def window(files: DataFrame, after_ms: int | None = None, until_ms: int | None =
 
 
 def check_sizes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """path -> why it can't be a Parquet file, by its length and magic numbers; nothing for good files."""
+    """path -> why it can't be a Parquet file, by its length and magic numbers (of many files, by its footer); nothing for good files."""
+    if len(paths) > MANY and None not in map(local_path, paths):
+        return {p: f.error for p, f in footers(spark, paths).items() if f.error}
     store = Storage(spark)
 
     def one(path: str) -> str | None:
@@ -109,7 +113,7 @@ def local_path(path: str) -> str | None:
     return path if path.startswith("/") else "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else None
 
 
-def footers(spark: SparkSession, paths: list[str], on_driver: int = 256) -> dict[str, Footer]:
+def footers(spark: SparkSession, paths: list[str], on_driver: int = MANY) -> dict[str, Footer]:
     """path -> footer, each file opened once: on the driver by threads, of more than ``on_driver`` files on local disks by a job.
 
     Other stores are read through Hadoop's file systems, which only the driver reaches.
