@@ -943,6 +943,18 @@ def test_what_is_counted(spark, tmp_path):
     assert set(now) <= set(NAMES) | {n for n in before if n not in NAMES}
 
 
+def test_a_hint_may_lag_or_be_broken(spark, catalog):
+    t = make(catalog)
+    for k in range(3):
+        t.append(pair(spark, [k]).coalesce(1))
+    hint = f"{t.location}/metadata/newest.txt"
+    for text in ("0", "1", "", "x1", "99"):
+        t.storage.write(hint, text)
+        assert t.log.version() == 3 and t.scan().count() == 3
+    t.storage.delete(hint)
+    assert t.log.version() == 3 and t.append(pair(spark, [9])) and t.log.version() == 4 and t.storage.read(hint) == "4"
+
+
 def test_old_snapshots_expire(spark, catalog):
     t = catalog.create(TableConfig(TableSchema(PAIR, namespace="a.b", table="t"), max_snapshot_age_ms=1000, min_snapshots=2))
     s = [t.append(pair(spark, [k, 100 + k]).coalesce(1), timestamp_ms=1000 * (k + 1)) for k in range(12)]
