@@ -347,13 +347,20 @@ class LakeSink:
         """Packs the buffered rows, whose size is known then."""
         if self.rows:
             try:
-                self.batches.append(self.table.spark.createDataFrame(self.rows, self._schema()).toArrow())
+                self.batches.append(self._packed())
             except Exception:
                 counters.add("sink.errors", 1, self.label)
                 raise
             counters.add("sink.batch_rows", len(self.rows), self.label)
             self.rows = []
 
+    def _packed(self) -> pa.Table:
+        """The buffered rows in Arrow: here, or by Spark where that reads values in its own way (times with a zone, nested ones)."""
+        s = self._schema()
+        if any(isinstance(f.dataType, (T.TimestampType, T.ArrayType, T.MapType, T.StructType)) for f in s):
+            return self.table.spark.createDataFrame(self.rows, s).toArrow()
+        return pa.Table.from_pylist(self.rows, to_arrow_schema(s))
+
     def rotate_if_due(self) -> None:
         with self.lock:
             held = sum(len(b) for b in self.batches) + len(self.rows)
