@@ -277,6 +277,8 @@ def p7_filled(spark: SparkSession, sf: str) -> DataFrame:
     """How many records have a value in each column of the one table: no alias and no form of a value is lost."""
     x = p7_table(spark, sf)
     names = [c for c in x.columns if c not in ("record_id", "file_key", "whole", "other")]
+    if not names:
+        return spark.createDataFrame([], "canonical_name string, n_values long")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("canonical_name"), F.col(f"`{n}`").isNotNull().alias("has")) for n in names]))
     return x.where("whole").select(each.alias("x")).groupBy("x.canonical_name").agg(F.count(F.when(F.col("x.has"), 1)).alias("n_values"))
 
