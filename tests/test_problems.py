@@ -288,6 +288,56 @@ def test_forest_isolates_what_is_far():
     assert np.isfinite(spikes.score(same, np.ones((3, 2)), 10)).all()
 
 
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_forest_and_threshold_are_of_all_readings(n):
+    rng = np.random.default_rng(8)
+    v, t = 20 + rng.normal(0, 0.2, n), T0 + 60 * np.arange(n)
+    v[n // 2] += 9
+    raw = spikes.local(v)
+    x = spikes.vectors(raw, t, v, spikes.usual_of(t, v), spikes.scatter_of(raw["level"]))
+    model, own, threshold = spikes.train(x, 7.0, 8, 128)
+    number, faults = spikes.plant(x, np.arange(n), n, 7.0)
+    assert set(number % n) == set(range(n)) and set(number % spikes.SHAPES) == set(range(spikes.SHAPES))  # each reading has a fault
+    grown = spikes.grown_over(x, number, faults)
+    for feature, line, path in zip(*model, strict=True):
+        here = {0: (np.arange(len(grown)), 0, False)}
+        for node in range(len(path)):
+            rows, level, below = here.pop(node)
+            g = grown[rows]
+            assert below or path[node] == np.float32(level + spikes._c(len(rows)))  # so many of all readings are there
+            cut = feature[node] >= 0
+            assert not cut or g[:, feature[node]].min() <= line[node] <= g[:, feature[node]].max()
+            right = g[:, feature[node]] > line[node] if cut else np.zeros(len(rows), dtype=bool)
+            if 2 * node + 2 < len(path):
+                here[2 * node + 1], here[2 * node + 2] = (rows[~right], level + 1, not cut), (rows[right], level + 1, not cut)
+    assert np.array_equal(own, spikes.score(model, x, len(grown)))
+    assert (own >= threshold).sum() >= 0.02 * n
+    planted = spikes.score(model, faults, len(grown))
+    assert all((planted[number % spikes.SHAPES == k] < threshold).mean() <= 0.1 for k in range(spikes.SHAPES))
+
+
+def test_scores_of_a_series_in_chunks_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(9)
+    v = 20 + np.sin(np.arange(1500) / 40) + rng.normal(0, 0.2, 1500)
+    v[700] += 9
+    data = [reading(i, "sensor-1", T0 + 60 * i, float(x), None if i % 9 else 50.0 + i % 14) for i, x in enumerate(v)] + [reading(9000, "sensor-2", T0, 20.0)]
+    data += [reading(9001 + i, "sensor-3", T0 + i, float(rng.choice([20.0, 21.0, float("inf"), -0.0, 1e308]))) for i in range(195)]  # a chunk of neighbours only follows
+    df = spark.createDataFrame(data, READING)
+    want = rows(spikes.flags(df))
+    assert len(want) == 1500 + 167 + 1 + 195
+    assert rows(spikes.flags(df, chunk_rows=200, whole_rows=0)) == want
+    assert rows(spikes.flags(df, chunk_rows=200, whole_rows=0, few_hot=0)) == want
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.98])
+def test_nth_is_exact_for_many_values(spark, share):
+    rng = np.random.default_rng(10)
+    values = {"a": rng.normal(0, 1, 60_000), "b": np.round(rng.normal(0, 1, 20_000), 1), "c": np.array([3.0, 1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs] + [("c", None), ("d", None)], "k string, v double")
+    got = {r["k"]: (r["n"], r["v"]) for r in spikes.nth(df, ["k"], "v", share, lambda n: F.floor(n * F.lit(share))).collect()}
+    assert got == {k: (len(xs), np.sort(xs)[int(len(xs) * share)]) for k, xs in values.items()}
+
+
 def test_runs_and_departures_of_short_series():
     assert spikes.run_lengths(np.array([1.0, 1, 2, 2, 2])).tolist() == [2, 2, 3, 3, 3]
     assert spikes.departure(np.array([])).tolist() == [] and spikes.departure(np.array([5.0])).tolist() == [0.0]
