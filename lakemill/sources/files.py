@@ -196,6 +196,22 @@ def stream_items(df: DataFrame, make: type[Item]) -> Iterator[Item]:
         yield make(**r.asDict(recursive=True))
 
 
+def stream_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow, in order, one partition in memory at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for r in df.mapInArrow(pack, "batch binary").toLocalIterator():
+        for b in pa.ipc.open_stream(pa.py_buffer(r["batch"])):
+            counters.add("source.rows", len(b))
+            yield b
+
+
 def from_arrow(spark: SparkSession, source: Any) -> DataFrame:
     """A table, record batches or the path of an Arrow IPC file as a DataFrame."""
     if isinstance(source, str):

@@ -3,10 +3,12 @@
 import dataclasses
 import json
 import random
+import tempfile
 import threading
 import time
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 from typing import Annotated
 
 import pyarrow as pa
@@ -519,6 +521,57 @@ def test_sink_rotates_by_time_and_size(tmp_path):
     assert Rotation(max_bytes=5).reason(1, 5, 0) == "size" and Rotation().reason(1, 1, 1) is None
 
 
+def test_small_batches_share_row_groups(tmp_path):
+    s = ParquetSink(str(tmp_path), "ev", PAIR, Rotation(max_rows=250, batch_rows=1), row_group=100)
+    s.write_all({"id": i, "name": "x"} for i in range(300))
+    meta = [pq.read_metadata(p) for p in s.commit()]
+    assert [[m.row_group(g).num_rows for g in range(m.num_row_groups)] for m in meta] == [[100, 100, 50], [50]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.integers(0, 12), max_size=40), st.integers(1, 7), st.integers(1, 30), st.integers(1, 400), st.integers(1, 60), st.lists(st.integers(0, 15), max_size=12),
+    st.booleans(),
+)
+def test_batches_go_where_rows_go(gaps, batch_rows, max_rows, max_bytes, max_seconds, cuts, first_by_row):
+    times = [100 + sum(gaps[: i + 1]) for i in range(len(gaps))]
+    found, schema = [], pa.schema([pa.field("id", pa.int64())])
+    for arrow in (False, True):
+        now = [0.0]
+        with tempfile.TemporaryDirectory() as at:
+            s = ParquetSink(at, "ev", schema, Rotation(max_rows, max_bytes, max_seconds, batch_rows), clock=lambda: now[0], row_group=5)
+            if arrow:
+                t, rest = pa.table({"id": pa.array(range(len(times)), pa.int64()), "us": pa.array([x * 1_000_000 for x in times], pa.int64())}), []
+                if first_by_row and times:
+                    now[0] = times[0]
+                    s.write({"id": 0})
+                    t = t.slice(1)
+                for n in cuts:
+                    rest, t = [*rest, t.slice(0, n)], t.slice(n)
+                s.write_batches([*rest, t], at="us")
+            else:
+                for i, x in enumerate(times):
+                    now[0] = x
+                    s.write({"id": i})
+            now[0] = times[-1] if times else 0
+            found.append(([(Path(p).name, pq.read_table(p)["id"].to_pylist()) for p in s.commit()], s.rotations))
+    assert found[0] == found[1] and [i for _, ids in found[0][0] for i in ids] == list(range(len(times)))
+
+
+def test_rotation_by_time_query(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    day, first = timedelta(days=1), datetime(2024, 1, 1, 0, 0, 0, 123457)
+    for k, ts in enumerate(([], [None, None], [first, first + day, first + day, first + 2 * day - timedelta(microseconds=1), first + 2 * day, None, first + 9 * day, first - 20_000 * day])):
+        sf = tmp_path / str(k)
+        sf.mkdir()
+        pq.write_table(pa.table({"event_id": pa.array(range(len(ts)), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "props": pa.array(["x"] * len(ts), pa.string())}), sf / "events.parquet")
+        want = duckdb.sql(e.oracle_sql()["rotate_by_time"].replace("FROM events", f"FROM '{sf}/events.parquet'")).fetchall()
+        assert rows(e.queries()["rotate_by_time"](spark, str(sf)), "file_no", "n") == sorted(want, key=repr), ts
+
+
 @pytest.mark.parametrize("auto", [True, False])
 def test_sink_recovers(tmp_path, auto):
     staging = tmp_path / "_staging"
