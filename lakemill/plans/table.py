@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,13 @@ from typing import Any
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakemill.functions.predicate import Predicate, bound, comparable, conjunction, storable
 from lakemill.plans.log import CommitConflict, FileEntry, Metadata, NoSuchSnapshot, Snapshot, SnapshotLog
@@ -31,6 +35,9 @@ PROPERTIES = {
     "wap": "write.wap.enabled", "max_snapshot_age_ms": "history.expire.max-snapshot-age-ms", "min_snapshots": "history.expire.min-snapshots-to-keep",
     "max_ref_age_ms": "history.expire.max-ref-age-ms", "codec": "write.parquet.compression-codec",
 }
+#: Types whose values are the same in files written by Arrow and by Spark.
+PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+ARROW_CODECS = {"uncompressed": "none", "lz4_raw": "lz4"}
 #: Footers are read on the driver up to this many files, by a job beyond.
 DRIVER_FOOTERS = 256
 
@@ -312,6 +319,36 @@ class LakeTable:
             w = w.partitionBy(*names)
         with times_as_micros(self.spark):
             w.parquet(out)
+        return self._entries(out, m)
+
+    def write_arrow(self, t: pa.Table) -> list[FileEntry]:
+        """Rows held by this process as a data file, without committing it.
+
+        A table that is neither partitioned nor sorted, of plain types and with all columns here, is written by this process,
+        so that small files cost no job; others are by ``write_files``.
+        """
+        m = self.metadata()
+        kept = {c.name: c.stored for c in m.columns}
+        if extra := [n for n in t.column_names if n not in kept]:
+            raise SchemaError(f"columns the table doesn't have: {', '.join(extra)}")
+        plain = all(type(c.dtype) in PLAIN and not c.metadata.get("set") and not c.metadata.get("fixed") for c in m.columns)
+        if m.partitions or m.sort or not plain or set(t.column_names) != set(kept) or not len(t):
+            types = {c.name: c.dtype for c in m.columns}
+            return self.write_files(self.spark.createDataFrame(t, T.StructType([T.StructField(n, types[n], True) for n in t.column_names])), m)
+        t = t.select(list(kept)).cast(to_arrow_schema(T.StructType([T.StructField(c.name, c.dtype, True) for c in m.columns])))
+        # Arrow leaves NaN out of bounds, but for Spark it is the highest value
+        told = [kept[n] for n in kept if not (pa.types.is_floating(t[n].type) and pc.any(pc.is_nan(t[n])).as_py())]
+        out = f"{self.location}/data/{uuid.uuid4().hex}"
+        codec = m.properties.get(PROPERTIES["codec"], "snappy")
+        with tempfile.TemporaryDirectory(prefix="lakemill-") as aside:
+            at = f"{aside}/part-00000.parquet"
+            pq.write_table(t.rename_columns(list(kept.values())), at, compression=ARROW_CODECS.get(codec, codec), write_statistics=told)
+            self.storage.put(at, f"{out}/part-00000.parquet")
+        return self._entries(out, m)
+
+    def _entries(self, out: str, m: Metadata) -> list[FileEntry]:
+        """The data files below a folder."""
+        parts = [(f"__p{i}_{p.name}", p) for i, p in enumerate(m.partitions)]
         found = [(p, n) for p, n, _ in self.storage.files(out) if p.endswith(".parquet")]
         stats = bounds(self.spark, self.storage, found, {c.stored: c.name for c in m.columns}) if found else {}
         entries = []

@@ -179,6 +179,11 @@ class Storage:
         finally:
             out.close()
 
+    def put(self, local: str, path: str) -> None:
+        """Moves a file of this process's own disk here."""
+        fs, p = self._at(path)
+        fs.copyFromLocalFile(True, True, self.jvm.org.apache.hadoop.fs.Path(f"file:{os.path.abspath(local)}"), p)
+
     def delete(self, path: str, tries: int = 3) -> bool:
         fs, p = self._at(path)
         for i in range(tries):

@@ -949,6 +949,65 @@ def test_lake_sink_counts_bytes_and_rolls_back_files(spark, catalog, tmp_path):
     assert t.scan().count() == 300 and len(t.snapshots().collect()) == 1
 
 
+def test_lake_sink_takes_batches_as_rows(spark, catalog, tmp_path):
+    t = make(catalog)
+    data, found = [{"id": i, "name": "x" * (i % 40)} for i in range(1000)], []
+    for how in (Rotation(max_bytes=4000, batch_rows=30), Rotation(max_rows=130, batch_rows=50), Rotation(max_rows=7, batch_rows=50)):
+        for arrow in (False, True):
+            sink = LakeSink(t, "s", str(tmp_path / "wal"), how)
+            if arrow:
+                sink.write_all(data[:20])
+                sink.write_batches(pa.Table.from_pylist(data[a:b], pa.schema([("id", pa.int64()), ("name", pa.string())])) for a, b in ((20, 20), (20, 333), (333, 340), (340, 1000)))
+            else:
+                sink.write_all(data)
+            found.append([len(sink.rotations), sink.rotations[0], [e.rows for e in sink.staged], sink.held_rows])
+            assert len(sink.staged) == len(sink.rotations) > 2  # a file for each, and no job
+            sink.close()
+            assert rows(t.scan(snapshot_id=t.current().id)) and t.current().summary["added-records"] == 1000
+        assert found[-1] == found[-2]
+    assert rows(t.scan()) == sorted([(x["id"], x["name"]) for x in data for _ in range(6)], key=repr)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_rows_written_by_arrow_are_found(spark, catalog, zone):
+    struct = T.StructType([*TYPED, T.StructField("x", T.DoubleType()), T.StructField("b", T.BinaryType()), T.StructField("y", T.ByteType())])
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        t = make(catalog, struct)
+        t.evolve(TableSchema(T.StructType([f for f in struct if f.name != "s"]), namespace="a.b", table="t"))
+        t.evolve(TableSchema(struct, namespace="a.b", table="t"))  # the column has another name in files now
+        assert [c.stored for c in t.metadata().columns if c.name == "s"] != ["s"]
+        times = [datetime(1899, 1, 1 + i, 12) if i % 5 == 0 else datetime(2024, 1 + i % 3, 1 + i, 12) for i in range(24)]
+        data = [(i, v, v, v.date(), Decimal(i) / 4, f"name{i:02d}", float("nan") if i == 9 else i / 2, b"\x00" * i, i) for i, v in enumerate(times)] + [(None,) * 9]
+        for k in range(4):
+            assert len(t.commit_files(t.write_arrow(spark.createDataFrame(data[k::4], struct).toArrow())).summary) > 0
+        everything = spark.createDataFrame(data, struct)
+        assert str(rows(t.scan())) == str(rows(everything)) and len(t.scan().inputFiles()) == 4
+        fewer = 0
+        for f in ("x > 11.5", "x >= 100", "x < 1", "x = 2.5", "id >= 22", "s = name07", "m >= 5.75", "d < 1950-01-01", "ts >= 2024-03-20 00:00:00", "n < 1899-01-02T00:00:00"):
+            df = t.scan(["id"], filters=[f])
+            assert rows(df) == rows(everything.where(Predicate.parse(f).expression()).select("id")), f
+            fewer += len(df.inputFiles()) < 4
+        assert fewer > 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_arrow_of_other_tables_goes_by_spark(spark, catalog):
+    nested = T.StructType([T.StructField("id", T.LongType()), T.StructField("a", T.ArrayType(T.StringType())), T.StructField("m", T.MapType(T.StringType(), T.IntegerType()))])
+    for k, (struct, how) in enumerate(((PAIR, {"partitions": (PartitionField("id", Transform.parse("truncate[100]")),)}), (PAIR, {"sort": (SortField("id", descending=True),)}), (nested, {}))):
+        t = catalog.create(TableConfig(TableSchema(struct, namespace="a", table=f"t{k}", **how)))
+        df = pair(spark, range(300)) if struct is PAIR else spark.createDataFrame([(i, ["a"] * (i % 3), {"k": i}) for i in range(300)], struct)
+        t.commit_files(t.write_arrow(df.toArrow()))
+        assert rows(t.scan()) == rows(df) and (k or {e.partition[f.name] for f in t.metadata().partitions for e in t.log.live(t.metadata(), t.current().id)} == {"0", "100", "200"})
+    t = make(catalog)
+    assert t.write_arrow(pair(spark, []).toArrow()) == []
+    with pytest.raises(SchemaError):
+        t.write_arrow(pa.table({"id": pa.array([1], pa.int64()), "other": ["x"]}))
+    t.commit_files(t.write_arrow(pa.table({"id": pa.array([1], pa.int64())})))
+    assert rows(t.scan()) == [(1, None)]
+
+
 def test_branch_commits_are_taken_up(spark, catalog, tmp_path):
     t = make(catalog, wap=True)
     wal = str(tmp_path / "wal")
